@@ -85,3 +85,31 @@ def in_order(df: DataFrame, keys: list[Column], name: str, sums: dict[str, Colum
     out = part.select("*", *[F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)).alias(f"_i_{k}") for k in sums])
     out = out.join(F.broadcast(base), (out["_g"].eqNullSafe(base["_g2"])) & (out["_part"] == base["_part2"]))
     return out.select(*df.columns, *[(F.col(f"_i_{k}") + F.col(f"_b_{k}")).alias(k) for k in sums])
+
+
+def slices(batches, columns=("text",), most: int = 4 << 20):
+    """Cuts Arrow batches into runs of rows whose named columns hold about `most` bytes, or one row, so memory stays bounded."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.zeros(batch.num_rows, np.int64)
+        for c in columns:
+            size += np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0))
+        at = np.unique(np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()) + most, most)))
+        edges = np.unique(np.concatenate([[0], at[(at > 0) & (at < batch.num_rows)], [batch.num_rows]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            yield batch.slice(a, b - a)
+
+
+def joined_with_hot(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """rows joined to table, unique by `on`, whose column `count` says how many rows have the key; total: of all rows.
+
+    The fewer than HOT keys with more than one in HOT of the rows are joined by broadcast, the rest by shuffle, so no key's
+    rows meet in one task. Read rows from a stored table: they are scanned twice.
+    """
+    hot = F.col(count) * HOT > total
+    few, many = F.broadcast(table.filter(hot)), table.filter(~hot)
+    return rows.join(few, on).unionByName(rows.join(few.select(on), on, "left_anti").join(many, on))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webdelta.llm.common import HOT, stored, text_of, whole_row
+from webdelta.llm.common import joined_with_hot, stored, text_of, whole_row
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -32,10 +32,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = found.agg(F.sum("group_size")).first()[0] or 0
     text = text_of(docs, text_col)
     rows = stored(docs.select(docs[id_col].alias("id"), F.unhex(F.md5(text)).alias("hash"), F.sha2(text, 256).alias("sha")), "hashes")
-    hot = F.col("group_size") * HOT > total
-    few, many = F.broadcast(found.filter(hot)), found.filter(~hot)
-    on = ["hash", "sha"]
-    both = rows.join(few, on).unionByName(rows.join(few, on, "left_anti").join(many, on))
+    both = joined_with_hot(rows, found, ["hash", "sha"], "group_size", total)
     return both.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webdelta.llm import exact_dedup
+from webdelta.llm import bpe, exact_dedup
 from webdelta.llm.common import documents
 
 
@@ -20,8 +20,18 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), _tokenizer())
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_exact_dedup,)}
+    return {f.__name__: f for f in (op4_exact_dedup, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
