@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webdelta.llm import bpe, exact_dedup, token_files
+from webdelta.llm import bpe, exact_dedup, mixing, token_files
 from webdelta.llm.common import documents
 
 
@@ -30,12 +30,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), _tokenizer())
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).drop("text_hash")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), _tokenizer(), end_id=2).drop("ids")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_files, op4_exact_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_files, op4_exact_dedup, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
