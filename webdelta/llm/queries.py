@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from webdelta.llm import bpe, exact_dedup, mixing, token_files
+from webdelta.llm import bpe, exact_dedup, mixing, sharding, token_files
 from webdelta.llm.common import documents
 
 
@@ -38,8 +39,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), _tokenizer(), end_id=2).drop("ids")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(documents(spark, sf_dir), 40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_token_files, op4_exact_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_files, op4_exact_dedup, op9_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
