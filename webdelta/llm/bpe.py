@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from webdelta.llm.common import slices
 
 #: Distinct words kept in a worker's table, and the longest word that is kept.
-KEPT_WORDS, KEPT_CHARS = 200_000, 256
+KEPT_WORDS, KEPT_CHARS = 150_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -133,37 +133,71 @@ class Vocabulary:
             for token in self.merged(window):
                 yield self.ids[token]
 
-    def encode_word(self, word: str) -> Iterator[int]:
-        """Ids of text without ASCII white space."""
-        for k, part in enumerate(self.split_special.split(word) if self.split_special else [word]):
+    def pretokens(self, word: str) -> Iterator[str | int]:
+        """Pre-tokens of text without ASCII white space, and the ids of special tokens in it."""
+        for k, part in enumerate(self.split_special.split(word) if self.split_special and "<" in word else [word]):
             if k % 2:
                 yield self.special[part]
             elif part:
                 # Lower case is by character: capital sigma never becomes final sigma.
-                low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                for m in self.pattern.finditer(low):
-                    yield from self.stream(m.group().encode("utf-8"))
-
-
-class Words(dict):
-    """Word to the little-endian 32-bit ids of it; forgets all when it is full."""
-
-    def __init__(self, encode):
+                low = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                if low.isalpha() and low.isascii():
+                    yield low
+                else:
+                    yield from self.pattern.findall(low)
+
+    def encode(self, pretoken: str) -> list[int]:
+        data = pretoken.encode("utf-8")
+        if len(data) > 24:
+            return list(self.stream(data))
+        parts = [self.symbols[b] for b in data]
+        parts[-1] += self.suffix
+        rank, none = self.rank, len(self.rank)
+        while len(parts) > 1:
+            ranks = [rank.get(p, none) for p in zip(parts, parts[1:])]
+            if (best := min(ranks)) == none:
+                break
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [self.ids[p] for p in parts]
+
+
+class Kept(dict):
+    """What make(word) gave, for words seen lately: when one table is full it becomes the old one, and what is still in use moves over."""
+
+    def __init__(self, make):
         super().__init__()
-        self.encode = encode
+        self.make, self.old = make, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.fromiter(self.encode(word), dtype="<u4").tobytes()
+    def __missing__(self, word: str):
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
         if len(word) <= KEPT_CHARS:
             if len(self) >= KEPT_WORDS:
+                self.old = dict(self)
                 self.clear()
-            self[word] = ids
-        return ids
+            self[word] = out
+        return out
+
+
+class Words(Kept):
+    """Word to the little-endian 32-bit ids of it, by way of its pre-tokens."""
+
+    def __init__(self, pretokens, encode):
+        super().__init__(self._word)
+        self.pretokens, self.parts = pretokens, Kept(lambda p: np.array(encode(p), "<u4").tobytes())
+
+    def _word(self, word: str) -> bytes:
+        return b"".join([p.to_bytes(4, "little") if isinstance(p, int) else self.parts[p] for p in self.pretokens(word)])
 
     def ids(self, text: str | None) -> bytes:
         """Ids of a whole text. Words are cut at ASCII white space, across which neither normal form nor pre-tokens reach."""
+        if not text:
+            return b""
         for c in "\t\n\x0b\x0c\r":
-            text = text.replace(c, " ") if text else ""
+            if c in text:
+                text = text.replace(c, " ")
         return b"".join(map(self.__getitem__, filter(None, text.split(" "))))
 
 
@@ -192,7 +226,7 @@ class Decoder:
 @functools.lru_cache(2)
 def loaded(path: str) -> tuple[Vocabulary, Words, Decoder]:
     v = Vocabulary(path)
-    return v, Words(v.encode_word), Decoder(v)
+    return v, Words(v.pretokens, v.encode), Decoder(v)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdelta.llm.bpe import Words
+from webdelta.llm.bpe import Vocabulary, Words
 from webdelta.llm.common import discard, new_path, slices, stored
 
 MAGIC = b"RVB1"
@@ -64,7 +64,7 @@ def unpack(raw: bytes, n: int) -> np.ndarray:
 
 @functools.lru_cache(2)
 def library(path: str) -> Words:
-    """Words by the tokenizers library; this kind of tokenizer never joins across white space."""
+    """Words whose pre-tokens the tokenizers library encodes; this kind of tokenizer never joins across white space."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,7 +73,7 @@ def library(path: str) -> Words:
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return Words(lambda w: t.encode(w, add_special_tokens=False).ids)
+    return Words(Vocabulary(path).pretokens, lambda p: t.encode(p, add_special_tokens=False).ids)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
