@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdelta.llm import bpe, exact_dedup, mixing, sharding, token_files
+from webdelta.llm import bpe, exact_dedup, jpeg, mixing, sharding, token_files, toxicity
 from webdelta.llm.common import documents
 
 
@@ -27,6 +27,15 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.read_media(jpeg.with_media(documents(spark, sf_dir)))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), _tokenizer())
 
@@ -45,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_token_files, op4_exact_dedup, op9_bpe, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_files, op4_exact_dedup, op5_toxicity, op7_media, op9_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
