@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdelta.llm import bpe, exact_dedup, jpeg, mixing, sharding, token_files, toxicity
+from webdelta.llm import bpe, exact_dedup, jpeg, minhash, mixing, sharding, token_files, toxicity
 from webdelta.llm.common import documents
 
 
@@ -36,6 +36,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.read_media(jpeg.with_media(documents(spark, sf_dir)))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(documents(spark, sf_dir), 3, "0.85")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), _tokenizer())
 
@@ -54,7 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_token_files, op4_exact_dedup, op5_toxicity, op7_media, op9_bpe, op10_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_files, op4_exact_dedup, op5_toxicity, op7_media, op8_minhash, op9_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
