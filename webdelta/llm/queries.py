@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdelta.llm import bpe, exact_dedup, jpeg, minhash, mixing, sharding, token_files, toxicity
+import corpus_pipeline
+from webdelta.llm import bpe, exact_dedup, jpeg, licenses, minhash, mixing, sharding, token_files, toxicity
 from webdelta.llm.common import documents
 
 
@@ -32,6 +33,41 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(documents(spark, sf_dir))
+    return found.select("doc_id", F.size("sentences").alias("n_sentences"), F.array_join("sentences", ",").alias("sentences"), F.array_join("licenses", ",").alias("licenses"))
+
+
+def _licenses_sql() -> str:
+    """The same tables, as DuckDB SQL."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quote(t)}, {quote(name)})" for name, texts in licenses.SENTENCES.items() for t in texts)
+    left, steps, names = "'|' || sentences_run || '|'", [], []
+    for i, (name, sequence) in enumerate(licenses.RULES):
+        run = quote("|" + "||".join(sequence) + "|")
+        steps.append(f"s{i} AS (SELECT *, contains({left if i == 0 else f'l{i - 1}'}, {run}) AS r{i}, replace({left if i == 0 else f'l{i - 1}'}, {run}, '#') AS l{i} FROM {'ids' if i == 0 else f's{i - 1}'})")
+        names.append(f"CASE WHEN r{i} THEN {quote(name)} END")
+    return rf"""
+WITH known(sentence, name) AS (VALUES {known}),
+lines AS (
+  SELECT doc_id, k, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;])[ \t]+', '\1' || chr(10), 'g'), '[\n\r]+')) AS s,
+         generate_subscripts(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;])[ \t]+', '\1' || chr(10), 'g'), '[\n\r]+'), 1) AS place
+  FROM (SELECT *, row_number() OVER () AS k FROM documents)),
+plain AS (
+  SELECT k, place, regexp_replace(regexp_replace(regexp_replace(
+    translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ"“”''‘’`', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\x0b\x0c]+', ' ', 'g'), '^[ #*/>-]+', ''), '[ .!?;]+$', '') AS s
+  FROM lines),
+met AS (SELECT k, string_agg(name, '||' ORDER BY place) AS run, count(*) AS n FROM plain JOIN known ON s = sentence GROUP BY k),
+ids AS (
+  SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(run, '') AS sentences_run
+  FROM (SELECT *, row_number() OVER () AS k FROM documents) LEFT JOIN met USING (k)),
+{", ".join(steps)}
+SELECT doc_id, CAST(n_sentences AS INTEGER) AS n_sentences, replace(sentences_run, '||', ',') AS sentences,
+       array_to_string(list_filter([{", ".join(names)}], lambda x, i: x IS NOT NULL AND NOT list_contains([{", ".join(names)}][1:i - 1], x)), ',') AS licenses
+FROM s{len(licenses.RULES) - 1}
+"""
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.read_media(jpeg.with_media(documents(spark, sf_dir)))
 
@@ -58,8 +94,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_token_files, op4_exact_dedup, op5_toxicity, op7_media, op8_minhash, op9_bpe, op10_sharding)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mixing, op2_token_files, op4_exact_dedup, op5_toxicity, op6_licenses, op7_media, op8_minhash, op9_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_licenses": _licenses_sql()}
