@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from webdelta.llm import bpe, exact_dedup, jpeg, licenses, minhash, mixing, sharding, token_files, toxicity
+from webdelta.llm import bpe, exact_dedup, jpeg, licenses, minhash, mixing, sharding, suffix_dedup, token_files, toxicity
 from webdelta.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(documents(spark, sf_dir), 200).drop("spans", "kept")
+
+
 OP4_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -94,7 +98,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mixing, op2_token_files, op4_exact_dedup, op5_toxicity, op6_licenses, op7_media, op8_minhash, op9_bpe, op10_sharding)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mixing, op2_token_files, op3_suffix_dedup, op4_exact_dedup, op5_toxicity, op6_licenses, op7_media, op8_minhash, op9_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
