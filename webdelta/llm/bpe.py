@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 
 from webdelta.llm.common import slices
 
-#: Distinct words kept in a worker's table, and the longest word that is kept.
-KEPT_WORDS, KEPT_CHARS = 150_000, 64
+#: Words and pre-tokens in a generation of a worker's tables (about 200 bytes each, two generations), and the longest that is kept.
+KEPT_WORDS, KEPT_PARTS, KEPT_CHARS = 450_000, 80_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -165,16 +165,17 @@ class Vocabulary:
 class Kept(dict):
     """What make(word) gave, for words seen lately: when one table is full it becomes the old one, and what is still in use moves over."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word: str):
         out = self.old.get(word)
         if out is None:
             out = self.make(word)
         if len(word) <= KEPT_CHARS:
-            if len(self) >= KEPT_WORDS:
+            if len(self) >= self.most:
+                self.old.clear()
                 self.old = dict(self)
                 self.clear()
             self[word] = out
@@ -182,14 +183,15 @@ class Kept(dict):
 
 
 class Words(Kept):
-    """Word to the little-endian 32-bit ids of it, by way of its pre-tokens."""
+    """Word to its little-endian ids of the given width, by way of its pre-tokens."""
 
-    def __init__(self, pretokens, encode):
-        super().__init__(self._word)
-        self.pretokens, self.parts = pretokens, Kept(lambda p: np.array(encode(p), "<u4").tobytes())
+    def __init__(self, pretokens, encode, code: str = "<u4"):
+        super().__init__(self._word, KEPT_WORDS)
+        self.pretokens, self.width = pretokens, np.dtype(code).itemsize
+        self.parts = Kept(lambda p: np.array(encode(p), code).tobytes(), KEPT_PARTS)
 
     def _word(self, word: str) -> bytes:
-        return b"".join([p.to_bytes(4, "little") if isinstance(p, int) else self.parts[p] for p in self.pretokens(word)])
+        return b"".join([p.to_bytes(self.width, "little") if isinstance(p, int) else self.parts[p] for p in self.pretokens(word)])
 
     def ids(self, text: str | None) -> bytes:
         """Ids of a whole text. Words are cut at ASCII white space, across which neither normal form nor pre-tokens reach."""

@@ -16,6 +16,7 @@ in an order set by their tokens. An empty table gives no blocks. Other columns a
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdelta.llm.bpe import Vocabulary, Words
+from webdelta.llm.bpe import KEPT_CHARS, KEPT_WORDS, Vocabulary
 from webdelta.llm.common import discard, new_path, slices, stored
 
 MAGIC = b"RVB1"
@@ -63,39 +64,76 @@ def unpack(raw: bytes, n: int) -> np.ndarray:
 
 
 @functools.lru_cache(2)
-def library(path: str) -> Words:
-    """Words whose pre-tokens the tokenizers library encodes; this kind of tokenizer never joins across white space."""
-    import os
+def id_code(path: str, end_id: int) -> str:
+    """The narrowest type that holds all ids of a tokenizer: what is shuffled and spilled is as small as can be."""
+    return "<u2" if max(end_id, *Vocabulary(path).pieces) < 1 << 16 else "<u4"
+
+
+class Library:
+    """The tokenizers library over whole texts: each word between ASCII white space, across which this kind of tokenizer never
+    joins, is encoded once and kept in a table of bounded size; a batch's new words go to the library together."""
+
+    def __init__(self, path: str, code: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        Vocabulary(path)  # raises if it is another kind
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.code, self.known, self.old = code, {"": b""}, {}
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        words = []
+        for t in texts:
+            t = t or ""
+            for c in "\t\n\x0b\x0c\r":
+                if c in t:
+                    t = t.replace(c, " ")
+            words.append(t.split(" "))
+        new = set().union(*words)
+        new.difference_update(self.known)
+        for w in [w for w in new if w in self.old]:
+            self.known[w] = self.old[w]
+            new.discard(w)
+        new = list(new)
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, self.code).tobytes()
+        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
+        for w in new:
+            if len(w) > KEPT_CHARS:
+                del self.known[w]
+        if len(self.known) > KEPT_WORDS:
+            self.old, self.known = self.known, {"": b""}
+        return out
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return Words(Vocabulary(path).pretokens, lambda p: t.encode(p, add_special_tokens=False).ids)
+@functools.lru_cache(2)
+def library(path: str, code: str) -> Library:
+    return Library(path, code)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids: each text's ids and the end id."""
-    end = np.array([end_id], "<u4").tobytes()
+    """id, ids: each text's ids and the end id, as id_code() says."""
+    code = id_code(path, end_id)
+    end = np.array([end_id], code).tobytes()
 
     def run(batches):
-        words = library(path)
+        words = library(path, code)
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([words.ids(t) + end for t in b.column("text").to_pylist()], pa.binary())], ["id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x + end for x in words.ids(b.column("text").to_pylist())], pa.binary())], ["id", "ids"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary")
 
 
-def ranked(tokens: DataFrame) -> np.ndarray:
+def ranked(tokens: DataFrame, code: str) -> np.ndarray:
     """Token ids by falling frequency. Its size is bounded by the vocabulary, whatever the corpus."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in slices(batches, ("ids",)):
-            seen = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4"))
+            seen = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), code))
             if len(seen) > len(total):
                 seen, total = total, seen
             total[: len(seen)] += seen
@@ -106,23 +144,23 @@ def ranked(tokens: DataFrame) -> np.ndarray:
     return found.sort_values(["n", "token"], ascending=[False, True])["token"].to_numpy(np.uint32)
 
 
-def write(tokens: DataFrame, path: str) -> None:
+def write(tokens: DataFrame, path: str, code: str) -> None:
     """tokens (id, ids) as token files under path: blocks in ascending id order, and the rank table."""
     spark = tokens.sparkSession
-    by_rank = ranked(tokens)
+    by_rank = ranked(tokens, code)
     spark.createDataFrame([(len(by_rank), bytearray(by_rank.astype("<u4").tobytes()))], "n int, tokens binary").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     sent = spark.sparkContext.broadcast(rank)
-    kind = tokens.schema["id"].dataType.simpleString()
+    kind, width = tokens.schema["id"].dataType.simpleString(), np.dtype(code).itemsize
 
     def run(batches):
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         docs, parts, held = [], [], 0
 
         def closed():
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            counts = np.array([len(p) // 4 for p in parts], "<u4")
+            ids = np.frombuffer(b"".join(parts), code)
+            counts = np.array([len(p) // width for p in parts], "<u4")
             payload = MAGIC + np.array([len(docs), len(ids)], "<u4").tobytes() + pack(np.concatenate([counts, sent.value[ids]]))
             columns = [[shard], [block], [before], [len(ids)], [docs], [payload]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(of), pa.binary()))], ["shard", "block", "before", "n_ids", "docs", "payload"]), len(ids)
@@ -132,7 +170,7 @@ def write(tokens: DataFrame, path: str) -> None:
             for doc, ids in zip(b.column("id").to_pylist(), b.column("ids").to_pylist()):
                 docs.append(doc)
                 parts.append(ids)
-                held += len(ids) // 4
+                held += len(ids) // width
                 if held >= BLOCK_IDS:
                     out, n = closed()
                     yield out
@@ -182,6 +220,6 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | No
     """Encodes docs, writes them to path (by default a folder in the shared one) and returns what read() finds there."""
     path = path or new_path(docs.sparkSession, "tokens")
     tokens = stored(tokenized(docs, tokenizer, end_id, id_col, text_col), "ids")
-    write(tokens, path)
+    write(tokens, path, id_code(tokenizer, end_id))
     discard(tokens)
     return read(docs.sparkSession, path).withColumnRenamed("id", id_col)
