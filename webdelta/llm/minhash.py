@@ -6,17 +6,18 @@ step j cannot lower any: a set stops there, and large sets stop after the first
 lowers the variance of the estimate below that of independent ones. Bands of `rows` components make the buckets.
 
 Documents with equal sets are one node, so copies never make pairs. In each bucket all nodes are compared with one pivot
-(the node with the smallest hash), on full sets. That alone decides every pair in the bucket: with the pivot's set P, a
-node x is known by what it lacks and what it adds, D(x), and by its cost c(x) = (1 - a) |P - x| + a |x - P|, where
-a = t / (1 + t). Two nodes x, y reach Jaccard t just when
+(the node with the smallest hash), on full sets. With the pivot's set P, a node x is known by what it lacks and what it
+adds, D(x), and by its cost c(x) = (1 - a) |P - x| + a |x - P|, where a = t / (1 + t). Two nodes reach Jaccard t just when
 
     |D(x) & D(y)|  >=  c(x) + c(y) - |P| (1 - 2 a)
 
-(common lacks plus common additions). The pivot itself links to x when c(x) <= |P| (1 - 2 a). Nodes linked to the pivot
-are one group already, so only pairs with an unlinked node are left, and those must share elements of D: they are joined on
-the elements that at least two nodes of the pivot share, with the costs and the number of such elements as bounds before
-any pair is counted. No bucket is capped and no group of copies is expanded. Groups are found by hashing to the smallest
-neighbour until nothing changes.
+(common lacks plus common additions), and the pivot links to x when c(x) <= |P| (1 - 2 a). Nodes linked to the pivot are one
+group already, so of the nodes near it (Jaccard NEAR or more) only pairs with an unlinked node are left, and those must
+share elements of D: they are joined on the elements that at least two nodes of the pivot share, with the costs and the
+number of such elements as bounds before any pair is counted. A node below NEAR can link only with nodes below
+NEAR + 1 - t, since 1 - Jaccard is a metric; those, without the pivot, are the bucket's rest and get a pivot of their own.
+A rest of at most FEW nodes is compared pair by pair. No bucket is capped and no group of copies is expanded. Groups are
+found by hashing to the smallest neighbour until nothing changes.
 
 A pair at the threshold meets in no band with probability (1 - t^rows)^bands: 8e-6 for 5 x 20 at 0.85 and 2e-6 for 4 x 25
 at 0.8. Defined results: texts without words have an empty set and link with nothing. Rows that repeat an id are judged each by
@@ -26,6 +27,7 @@ empty table gives an empty result. Other columns, whatever their names, are unto
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from fractions import Fraction
 
@@ -34,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webdelta.llm.common import joined_with_hot, slices, stored, whole_row
+from webdelta.llm.common import discard, joined_with_hot, slices, stored, whole_row
 from webdelta.llm.words import mix, shingle_sets
 
-#: Partners of a pivot that are verified in one group of rows.
-GROUP = 256
+#: Partners of a pivot that are verified in one group of rows; rows of a rest that is compared pair by pair.
+GROUP, FEW = 256, 16
+#: Jaccard from which a node is near its pivot.
+NEAR = Fraction(1, 2)
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
@@ -112,14 +116,14 @@ def sketched(docs: DataFrame, k: int, rows: int, bands: int, id_col: str, text_c
 
 
 def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """pairs: pivot, node, n (partners of the pivot); texts: set_key, text. Returns pivot, node, linked, cost, budget, delta (hashes)."""
+    """pairs: pivot, node, n (partners of the pivot); texts: set_key, text. Returns pivot, node, linked, near, far, cost, budget, delta (hashes; only of near nodes)."""
     # Partners of one pivot are dealt to groups of about GROUP; the pivot's text goes to each of them.
     groups = F.ceil(F.col("n") / GROUP).cast("int")
     dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("node"), groups).cast("int"))
     of_pivot = texts.select(F.col("set_key").alias("pivot"), F.col("text").alias("p_text"))
     pivots = pairs.groupBy("pivot").agg(F.max("n").alias("n")).join(of_pivot, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), groups - 1)).alias("deal"), "p_text")
     both = dealt.join(texts.select(F.col("set_key").alias("node"), "text"), "node").join(pivots, ["pivot", "deal"]).select("pivot", "node", "p_text", "text")
-    num, den = threshold.numerator, threshold.denominator
+    num, den, reach = threshold.numerator, threshold.denominator, NEAR + 1 - threshold
 
     def run(batches):
         for b in slices(batches, ("p_text", "text"), 2 << 20):
@@ -130,7 +134,7 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction) ->
             pv, pn = shingle_sets([t.encode() for t in unique], k)
             xv, xn = shingle_sets([(t or "").encode() for t in b.column("text").to_pylist()], k)
             pe, xe = np.cumsum(pn), np.cumsum(xn)
-            linked, cost, budget, deltas = [], [], [], []
+            linked, near, far, cost, budget, deltas = [], [], [], [], [], []
             for i, u in enumerate(of):
                 p, x = pv[pe[u] - pn[u] : pe[u]], xv[xe[i] - xn[i] : xe[i]]
                 d = np.setxor1d(p, x, assume_unique=True)
@@ -138,51 +142,85 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction) ->
                 adds = len(d) - lacks
                 # All in units of 1 / (num + den): a = num / (num + den).
                 c, full = den * lacks + num * adds, len(p) * (den - num)
+                both, union = len(p) - lacks, len(p) + adds
                 linked.append(c <= full)
+                near.append(both * NEAR.denominator >= NEAR.numerator * union)
+                far.append(both * reach.denominator < reach.numerator * union)
                 cost.append(c)
                 budget.append(full)
-                deltas.append(d.view(np.int64))
-            columns = [pivots, nodes, pa.array(linked), pa.array(cost, pa.int64()), pa.array(budget, pa.int64()), pa.array(deltas, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["pivot", "node", "linked", "cost", "budget", "delta"])
+                deltas.append(d.view(np.int64) if near[-1] else d[:0].view(np.int64))
+            columns = [pivots, nodes, pa.array(linked), pa.array(near), pa.array(far), pa.array(cost, pa.int64()), pa.array(budget, pa.int64()), pa.array(deltas, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["pivot", "node", "linked", "near", "far", "cost", "budget", "delta"])
 
-    return both.mapInArrow(run, "pivot binary, node binary, linked boolean, cost long, budget long, delta array<long>")
+    return both.mapInArrow(run, "pivot binary, node binary, linked boolean, near boolean, far boolean, cost long, budget long, delta array<long>")
 
 
 def links(sets: DataFrame, docs: DataFrame, k: int, threshold: Fraction, id_col: str, text_col: str) -> DataFrame:
     """sets: set_key, id and text_hash of one document that has the set, bands. Returns links between sets: a, b."""
-    rows = stored(sets.select("set_key", F.posexplode("bands").alias("band", "hash")), "bands")
-    first = F.min(F.struct(F.xxhash64("set_key").alias("h"), F.col("set_key"))).alias("p")
-    buckets = stored(rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select("band", "hash", "n", F.col("p.set_key").alias("pivot")), "buckets")
-    total = buckets.agg(F.sum("n")).first()[0] or 0
-    met = joined_with_hot(rows, buckets, ["band", "hash"], "n", total).filter("set_key <> pivot")
-    pairs = stored(met.select("pivot", F.col("set_key").alias("node")).distinct(), "pairs")
+    all_rows = stored(sets.select("set_key", F.posexplode("bands").alias("band", "hash")), "bands")
+    sizes = stored(all_rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    rows = stored(joined_with_hot(all_rows, sizes, ["band", "hash"], "n", total).select("band", "hash", "set_key"), "buckets")
+    discard(all_rows)
+    wanted = rows.select("set_key").distinct().join(sets.select("set_key", "id", "text_hash"), "set_key")
+    texts = stored(_texts(docs, id_col, text_col).join(wanted, ["id", "text_hash"]).select("set_key", "text").dropDuplicates(["set_key"]), "texts")
+    done, direct = None, []
+    while True:
+        first = F.min(F.struct(F.xxhash64("set_key").alias("h"), F.col("set_key"))).alias("p")
+        heads = stored(rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select("band", "hash", "n", F.col("p.set_key").alias("pivot")), "heads")
+        total = heads.agg(F.sum("n")).first()[0] or 0
+        if not total:
+            break
+        # A rest of a few rows, never the first round's buckets, is compared pair by pair: at most FEW / 2 pairs a row.
+        few = heads.filter(F.col("n") <= FEW) if done is not None else None
+        if few is not None:
+            in_few = stored(rows.join(few.select("band", "hash"), ["band", "hash"]), "few")
+            heads = stored(heads.filter(F.col("n") > FEW), "heads")
+            pair = in_few.withColumnRenamed("set_key", "pivot").join(in_few.withColumnRenamed("set_key", "node"), ["band", "hash"]).filter("pivot < node").select("pivot", "node").distinct()
+            direct.append(_verified(pair, texts, k, threshold).filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        met = stored(joined_with_hot(rows, heads, ["band", "hash"], "n", total).filter("set_key <> pivot").select("band", "hash", "pivot", F.col("set_key").alias("node")), "met")
+        new = met.select("pivot", "node").distinct()
+        new = new if done is None else new.join(done.select("pivot", "node"), ["pivot", "node"], "left_anti")
+        found = _verified(new, texts, k, threshold)
+        done = found if done is None else stored(done.unionByName(found), "compared")
+        far = done.filter("far").select("pivot", "node")
+        rows = stored(met.join(far, ["pivot", "node"]).select("band", "hash", F.col("node").alias("set_key")), "far")
+    if done is None:
+        return sets.select(F.col("set_key").alias("a"), F.col("set_key").alias("b")).limit(0)
+    direct.append(done.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    return functools.reduce(DataFrame.unionByName, direct).unionByName(_beside_pivots(done.filter("near"), threshold))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """pairs (pivot, node) on full sets; a pivot's partners are dealt to groups by their number."""
+    pairs = stored(pairs, "pairs")
     sized = stored(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")), "pivots")
-    n_pairs = sized.agg(F.sum("n")).first()[0] or 0
-    wanted = pairs.select(F.explode(F.array("pivot", "node")).alias("set_key")).distinct().join(sets, "set_key").select("set_key", "id", "text_hash")
-    texts = _texts(docs, id_col, text_col).join(wanted, ["id", "text_hash"]).select("set_key", "text")
-    texts = stored(texts.dropDuplicates(["set_key"]), "texts")
-    found = stored(compared(joined_with_hot(pairs, sized, ["pivot"], "n", n_pairs), texts, k, threshold), "compared")
-    direct = found.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    # The rest: pairs of one pivot with an unlinked node. Only elements that two of the pivot's nodes share can count.
+    total = sized.agg(F.sum("n")).first()[0] or 0
+    return stored(compared(joined_with_hot(pairs, sized, ["pivot"], "n", total), texts, k, threshold), "compared")
+
+
+def _beside_pivots(found: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links between nodes near one pivot, at least one of them not linked to it, by the elements of D that they share."""
+    found = stored(found, "near")
+    total = found.count()
     by_pivot = found.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("linked")).alias("apart"), F.min("cost").alias("least"), F.min(F.when(~F.col("linked"), F.col("cost"))).alias("least_apart")).filter("n > 1 AND apart > 0")
     by_pivot = stored(by_pivot, "open-pivots")
     unit = threshold.numerator + threshold.denominator
-    left = joined_with_hot(found, by_pivot, ["pivot"], "n", n_pairs)
+    left = joined_with_hot(found, by_pivot, ["pivot"], "n", total)
     # shared * unit >= cost(x) + cost(y) - budget, and shared <= |delta| of either.
-    may = F.size("delta") * unit >= F.col("cost") - F.col("budget") + F.when(F.col("linked"), F.col("least_apart")).otherwise(F.col("least"))
-    left = left.filter(may).select("pivot", "node", "linked", "cost", "budget", "least", "least_apart", F.explode("delta").alias("e"))
-    left = stored(left, "elements")
+    least = F.when(F.col("linked"), F.col("least_apart")).otherwise(F.col("least"))
+    may = F.size("delta") * unit >= F.col("cost") - F.col("budget") + least
+    left = stored(left.filter(may).select("pivot", "node", "linked", "cost", "budget", least.alias("other"), F.explode("delta").alias("e")), "elements")
     common = left.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("linked")).alias("u")).filter("m > 1 AND u > 0").select("pivot", "e")
     shared = stored(left.join(common, ["pivot", "e"]), "shared")
     count = shared.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("most"))
-    need = F.col("most") * unit >= F.col("cost") - F.col("budget") + F.when(F.col("linked"), F.col("least_apart")).otherwise(F.col("least"))
-    useful = stored(shared.join(count, ["pivot", "node"]).filter(need), "useful")
+    useful = stored(shared.join(count, ["pivot", "node"]).filter(F.col("most") * unit >= F.col("cost") - F.col("budget") + F.col("other")), "useful")
     x = useful.filter("NOT linked").select("pivot", "e", F.col("node").alias("a"), F.col("cost").alias("ca"), "budget", F.col("most").alias("ma"))
     y = useful.select("pivot", "e", F.col("node").alias("b"), F.col("cost").alias("cb"), F.col("most").alias("mb"), F.col("linked").alias("lb"))
     lack = F.col("ca") + F.col("cb") - F.col("budget")
     fits = (F.col("ma") * unit >= lack) & (F.col("mb") * unit >= lack) & (F.col("a") != F.col("b")) & (F.col("lb") | (F.col("a") < F.col("b")))
     met = x.join(y, ["pivot", "e"]).filter(fits).groupBy("pivot", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.first(lack).alias("lack"))
-    return direct.unionByName(met.filter(F.col("n") * unit >= F.col("lack")).select("a", "b"))
+    return met.filter(F.col("n") * unit >= F.col("lack")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
