@@ -197,9 +197,9 @@ def clustered(u: DataFrame) -> DataFrame:
     ct = F.when((F.col("removed") > 0) & (F.col("added") == 0) & (changed == 0), "removed").when((F.col("added") > 0) & (F.col("removed") == 0) & (changed == 0), "added").otherwise("modified")
     shape = u.schema["delta"].dataType
     field = {"enc": F.lit("struct"), "added": F.col("added").cast("int"), "removed": F.col("removed").cast("int"), "modified": changed.cast("int"), "truncated": (F.col("members") - F.size("sample")).cast("int"), "sample": F.col("sample")}
-    delta = F.struct(*[field.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in shape.fields])
+    delta = F.struct(*[field.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
     made = {"slot_key": F.col("parent_slot"), "ct": ct, "sim": F.lit(1.0), "delta": delta, "noise": F.col("noise"), "magnitude": F.col("magnitude"), "block_type": F.col("block_type"), "anchored_by": F.col("anchored_by"), "depth": F.lit(0), "idx": F.lit(0), "event_key": F.sha2(F.concat_ws("\x1f", "tid", "parent_slot", F.array_join("sample", "")), 256)}
-    rows = big.select(*[(F.col(f.name) if f.name in PAIR else made.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in u.schema.fields])
+    rows = big.select(*[(F.col(f.name) if f.name in PAIR else made.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) if f.name != "delta" else delta.alias("delta") for f in u.schema.fields])
     keys = big.select(*group)
     out = u.join(keys, group, "left_anti").select(*u.columns)
     out = out.join(keys.withColumnRenamed("parent_slot", "slot_key"), [*PAIR, "slot_key"], "left_anti").select(*u.columns)

@@ -34,17 +34,21 @@ def unseen(events: DataFrame, seen: DataFrame) -> DataFrame:
     return events.join(seen.select("tid", "event_key"), ["tid", "event_key"], "left_anti")
 
 
+def _seconds(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+
+
 def crawl_waits(fetches: DataFrame, delay: float, host: str = "host", ts: str = "ts") -> DataFrame:
     """Fetches with the seconds to wait before them: against the host's fetch just before (a rejected fetch counts as one)."""
     w = Window.partitionBy(host).orderBy(ts)
-    gap = F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(w)
+    gap = _seconds(ts) - F.lag(_seconds(ts)).over(w)
     wait = F.when(gap < delay, F.ceil(F.lit(float(delay)) - gap)).otherwise(0)
     return fetches.withColumns({"wait_s": F.coalesce(wait, F.lit(0)).cast("long")}).withColumn("allowed", F.col("wait_s") == 0)
 
 
 def crawl_gate(fetches: DataFrame, delay: float, host: str = "host", ts: str = "ts") -> DataFrame:
     """The exact rule: only fetches that were let through move the host's clock. A fold over each host's times in order."""
-    times = F.array_sort(F.collect_list(F.col(ts).cast("double")))
+    times = F.array_sort(F.collect_list(_seconds(ts)))
     step = lambda s, t: F.when(s["last"].isNull() | (t - s["last"] >= delay), F.struct(t.alias("last"), F.concat(s["ok"], F.array(t)).alias("ok"))).otherwise(s)
     start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("ok"))
     return fetches.groupBy(host).agg(F.aggregate(times, start, step)["ok"].alias("ok")).select(host, F.explode("ok").alias("t")).select(host, F.timestamp_seconds("t").alias(ts))
