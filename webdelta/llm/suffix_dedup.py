@@ -5,12 +5,13 @@ windows have equal anchors at equal places, so only windows whose anchor occurs
 of different anchors never meet. Consecutive windows of one anchor form a piece. Pieces of anchors that occur once are never
 read; equal pieces are one, with a count, before anything is shuffled; pieces of one anchor go to one task.
 
-There the pieces are cut into shards, each with its own Burrows-Wheeler transform, and the transforms are merged by
-iterative interleave refinement: in round i the suffixes of all shards, interleaved by their first i - 1 bytes, are dealt
-stably by the byte before them, and each entry moves to its predecessor's row (LF). The boundary between two neighbours
-appears in the round that is their common prefix; intervals of one suffix are settled and leave. What is left after
-`length` rounds are the intervals of suffixes with a common prefix of `length` bytes: the windows that repeat. No suffixes
-are sorted across shards. An anchor with more than HOT_PIECES different pieces (a frequent line in many surroundings) is
+There the pieces are cut into shards, each with its own suffix order and Burrows-Wheeler transform, and the transforms are
+merged by iterative interleave refinement: in round i the suffixes of all shards, interleaved by the bytes of i - 1 rounds,
+are dealt stably by the STEP bytes before them, and each entry moves to the row of that place (LF, STEP times). The boundary
+between two neighbours appears in the round that their common prefix ends in; intervals of one suffix are settled and leave.
+Only suffixes that `length` bytes of their piece precede are dealt. What is left after the last round are the intervals of
+suffixes with a common prefix of `length` bytes: the windows that repeat. No suffixes are sorted across shards.
+An anchor with more than HOT_PIECES different pieces (a frequent line in many surroundings) is
 split by its windows' place, first and last bytes, which equal windows share, so no task holds more than its part of it.
 
 Defined results: null text is empty. Matches never cross documents. Rows that repeat id and text are copies of each other,
@@ -35,6 +36,8 @@ from webdelta.llm.words import _BYTE, _power, mix
 END = 0xFF
 #: Bytes of pieces that are merged at once, and of one shard of them; pieces of an anchor before it is split.
 CHUNK, SHARD, HOT_PIECES = 1 << 20, 1 << 18, 1024
+#: Bytes that a round of the merge refines by.
+STEP = 8
 _PLACE_BITS = 20
 
 
@@ -64,8 +67,8 @@ def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarr
     return first, np.diff(np.append(first, m)), at[first], h[at[first]]
 
 
-def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a shard: suffix order by the first `depth` bytes at least, its Burrows-Wheeler transform, and LF of each row."""
+def transform(text: np.ndarray, depth: int) -> np.ndarray:
+    """A shard's transform, as its suffix order by the first `depth` bytes at least: the byte of a row is the text's before its place."""
     n = len(text)
     wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = wide[:n] << np.uint64(56)
@@ -91,37 +94,48 @@ def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
         start[rows] = fresh
         rank[pos] = np.maximum.accumulate(np.where(fresh, rows, 0))
         done *= 2
-    row = np.empty(n, np.int64)
-    row[order] = np.arange(n)
-    before = np.where(order > 0, order - 1, n - 1)
-    return order, text[before], row[before]
+    return order
 
 
 def repeated_suffixes(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of the shards that share their first `length` bytes, none of them END, with another: shard, place, interval."""
+    """Places whose next `length` bytes lie in their piece and occur at another place: shard, place, interval.
+
+    Rows start at the windows' ends and move back STEP bytes a round: the deal is by the bytes before them, and LF, applied
+    STEP times, is the row of the place so far before.
+    """
     none = np.zeros(0, np.int64)
     if not shards:
         return none, none, none
     parts = [transform(s, length) for s in shards]
     base = np.cumsum([0] + [len(s) for s in shards])
-    place = np.concatenate([p[0] for p in parts])
-    bwt = np.concatenate([p[1] for p in parts])
-    lf = np.concatenate([p[2] + b for p, b in zip(parts, base[:-1])])
-    rows, interval = np.arange(len(bwt)), np.zeros(len(bwt), np.int64)
-    for _ in range(length):
-        byte = bwt[rows]
-        inside = byte != END
-        rows, interval, byte = rows[inside], interval[inside], byte[inside]
+    place = np.concatenate([p + b for p, b in zip(parts, base[:-1])])
+    row = np.empty(len(place), np.int64)
+    row[place] = np.arange(len(place))
+    text = np.concatenate(shards)
+    ends = np.flatnonzero(text == END)
+    size = np.diff(np.concatenate([[-1], ends]))
+    inside = np.arange(len(text)) - np.repeat(ends + 1 - size, size)
+    rows = np.flatnonzero(inside[place] >= length)
+    interval = np.zeros(len(rows), np.int64)
+    wide = text.astype(np.uint64)
+    done = 0
+    while done < length and len(rows):
+        step = min(STEP, length - done)
+        at = place[rows] - step
+        byte = wide[at]
+        for j in range(1, step):
+            byte = byte << np.uint64(8) | wide[at + j]
         order = np.argsort(byte, kind="stable")
-        rows, interval, byte = lf[rows[order]], interval[order], byte[order]
+        rows, interval, byte = row[at[order]], interval[order], byte[order]
         bound = np.ones(len(rows) + 1, bool)
         bound[1:-1] = (byte[1:] != byte[:-1]) | (interval[1:] != interval[:-1])
         interval = np.cumsum(bound[:-1])
         shared = ~(bound[:-1] & bound[1:])
         rows, interval = rows[shared], interval[shared]
-        if not len(rows):
-            return none, none, none
-    return np.searchsorted(base, rows, side="right") - 1, place[rows], interval
+        done += step
+    at = place[rows]
+    shard = np.searchsorted(base, at, side="right") - 1
+    return shard, at - base[shard], interval
 
 
 def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
