@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from webdelta.llm.common import slices
 
 #: Words and pre-tokens in a generation of a worker's tables (about 200 bytes each, two generations), and the longest that is kept.
-KEPT_WORDS, KEPT_PARTS, KEPT_CHARS = 450_000, 80_000, 64
+KEPT_WORDS, KEPT_PARTS, KEPT_CHARS = 150_000, 150_000, 64
 
 
 def byte_symbols() -> list[str]:

@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdelta.llm.bpe import KEPT_CHARS, KEPT_WORDS, Vocabulary
+from webdelta.llm.bpe import KEPT_CHARS, Vocabulary
 from webdelta.llm.common import discard, new_path, slices, stored
 
 MAGIC = b"RVB1"
 #: Ids in a block before it is closed.
 BLOCK_IDS = 1 << 18
+#: Words in a generation of a worker's table (about 200 bytes each, two generations), and words in a call to the library.
+TABLE, CALL = 280_000, 4096
 #: For each control byte the four lengths.
 LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -97,13 +99,15 @@ class Library:
             self.known[w] = self.old[w]
             new.discard(w)
         new = list(new)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, self.code).tobytes()
+        for a in range(0, len(new), CALL):
+            some = new[a : a + CALL]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, self.code).tobytes()
         out = [b"".join(map(self.known.__getitem__, w)) for w in words]
         for w in new:
             if len(w) > KEPT_CHARS:
                 del self.known[w]
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > TABLE:
             self.old, self.known = self.known, {"": b""}
         return out
 
