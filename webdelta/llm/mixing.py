@@ -64,11 +64,14 @@ def _fold(seed: Column) -> Column:
 
         def moved(m: Column) -> Column:
             rise, fall = m["up"], m["down"]
-            by = F.when(m["draw"] * (rise + fall) < fall, rise).otherwise(-fall)
-            a_whole = F.when(by > 0, (1 - a["p"]) * a["s"] <= by).otherwise(a["p"] * a["s"] <= -by)
-            b_whole = F.when(by > 0, b["p"] * b["s"] <= by).otherwise((1 - b["p"]) * b["s"] <= -by)
-            new_a = F.when(a_whole, F.when(by > 0, 1.0).otherwise(0.0)).otherwise(a["p"] + by / a["s"])
-            new_b = F.when(b_whole, F.when(by > 0, 0.0).otherwise(1.0)).otherwise(b["p"] - by / b["s"])
+            to_a = m["draw"] * (rise + fall) < fall
+            by = F.when(to_a, rise).otherwise(fall)
+            # Whoever has no more than that to give or take is settled, rounding errors aside.
+            a_whole = F.when(to_a, (1 - a["p"]) * a["s"]).otherwise(a["p"] * a["s"]) - by <= 1e-9
+            b_whole = F.when(to_a, b["p"] * b["s"]).otherwise((1 - b["p"]) * b["s"]) - by <= 1e-9
+            sign = F.when(to_a, 1.0).otherwise(-1.0)
+            new_a = F.when(a_whole, F.when(to_a, 1.0).otherwise(0.0)).otherwise(a["p"] + sign * by / a["s"])
+            new_b = F.when(b_whole, F.when(to_a, 0.0).otherwise(1.0)).otherwise(b["p"] - sign * by / b["s"])
             return F.struct(new_a.alias("pa"), new_b.alias("pb"), a_whole.alias("wa"), b_whole.alias("wb"))
 
         def next_state(r: Column) -> Column:
