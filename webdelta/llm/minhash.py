@@ -16,7 +16,7 @@ group already, so of the nodes near it (Jaccard NEAR or more) only pairs with an
 share elements of D: they are joined on the elements that at least two nodes of the pivot share, with the costs and the
 number of such elements as bounds before any pair is counted. A node below NEAR can link only with nodes below
 NEAR + 1 - t, since 1 - Jaccard is a metric; those, without the pivot, are the bucket's rest and get a pivot of their own.
-A rest of at most FEW nodes is compared pair by pair. No bucket is capped and no group of copies is expanded. Groups are
+Once all rests together hold at most PAIRS pairs for each set, they are compared pair by pair. No bucket is capped and no group of copies is expanded. Groups are
 found by hashing to the smallest neighbour until nothing changes.
 
 A pair at the threshold meets in no band with probability (1 - t^rows)^bands: 8e-6 for 5 x 20 at 0.85 and 2e-6 for 4 x 25
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from webdelta.llm.common import discard, joined_with_hot, slices, stored, whole_row
 from webdelta.llm.words import mix, shingle_sets
 
-#: Partners of a pivot that are verified in one group of rows; rows of a rest that is compared pair by pair.
-GROUP, FEW = 256, 16
+#: Partners of a pivot that are verified in one group of rows; pairs for each set that the last rests may hold.
+GROUP, PAIRS = 256, 5
 #: Jaccard from which a node is near its pivot.
 NEAR = Fraction(1, 2)
 
@@ -164,20 +164,22 @@ def links(sets: DataFrame, docs: DataFrame, k: int, threshold: Fraction, id_col:
     discard(all_rows)
     wanted = rows.select("set_key").distinct().join(sets.select("set_key", "id", "text_hash"), "set_key")
     texts = stored(_texts(docs, id_col, text_col).join(wanted, ["id", "text_hash"]).select("set_key", "text").dropDuplicates(["set_key"]), "texts")
-    done, direct = None, []
+    done, direct, n_sets = None, [], sets.count()
     while True:
         first = F.min(F.struct(F.xxhash64("set_key").alias("h"), F.col("set_key"))).alias("p")
-        heads = stored(rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select("band", "hash", "n", F.col("p.set_key").alias("pivot")), "heads")
+        # Buckets of other bands with the same nodes (by a 128-bit sum over them) are one.
+        same = [F.bit_xor(F.xxhash64("set_key", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+        heads = rows.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), first, *same).filter("n > 1").groupBy("n", "x0", "x1").agg(F.min(F.struct("band", "hash", "p")).alias("b"))
+        heads = stored(heads.select("b.band", "b.hash", "n", F.col("b.p.set_key").alias("pivot")), "heads")
         total = heads.agg(F.sum("n")).first()[0] or 0
         if not total:
             break
-        # A rest of a few rows, never the first round's buckets, is compared pair by pair: at most FEW / 2 pairs a row.
-        few = heads.filter(F.col("n") <= FEW) if done is not None else None
-        if few is not None:
-            in_few = stored(rows.join(few.select("band", "hash"), ["band", "hash"]), "few")
-            heads = stored(heads.filter(F.col("n") > FEW), "heads")
-            pair = in_few.withColumnRenamed("set_key", "pivot").join(in_few.withColumnRenamed("set_key", "node"), ["band", "hash"]).filter("pivot < node").select("pivot", "node").distinct()
+        # Few enough to compare pair by pair: their number is bounded by the number of sets.
+        if done is not None and heads.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] <= PAIRS * n_sets:
+            rest = rows.join(heads.select("band", "hash"), ["band", "hash"])
+            pair = rest.withColumnRenamed("set_key", "pivot").join(rest.withColumnRenamed("set_key", "node"), ["band", "hash"]).filter("pivot < node").select("pivot", "node").distinct()
             direct.append(_verified(pair, texts, k, threshold).filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+            break
         met = stored(joined_with_hot(rows, heads, ["band", "hash"], "n", total).filter("set_key <> pivot").select("band", "hash", "pivot", F.col("set_key").alias("node")), "met")
         new = met.select("pivot", "node").distinct()
         new = new if done is None else new.join(done.select("pivot", "node"), ["pivot", "node"], "left_anti")
