@@ -16,7 +16,6 @@ out. Without labels of both kinds every score is the share of toxic labels, or 0
 """
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webdelta.llm.common import whole_row
+from webdelta.llm.words import mix
 
 BUCKETS, DIMS, WINDOW = 1 << 16, 8, 8
 #: Labelled rows that training reads at most.
 SAMPLE = 5000
 THRESHOLD = 0.7
 GRAMS = (3, 4, 5, 6)
+_BASE, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 KEPT_WORDS = 200_000
 #: Texts that must touch a bucket before it is trained; windows in a step of the start; Adam's rate; weight decay.
 MIN_TEXTS, BATCH, RATE, DECAY = 6, 8192, 0.05, 0.3
@@ -42,11 +43,27 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
-def grams_of(word: str) -> np.ndarray:
-    """Bucket numbers of a word's n-grams and of the word."""
-    w = f"<{word}>"
-    found = [w] + [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)]
-    return np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in found), np.int32, len(found))
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of the n-grams of all words and of the words themselves, word by word, and how many each word has."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    char = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    first = np.cumsum(size) - size
+    word, end = np.repeat(np.arange(len(words)), size), np.repeat(first + size, size)
+    at = np.arange(len(char))
+    spread = mix(char + _SALT * (at - first[word] + 1).astype(np.uint64))
+    hashes, owner = [mix(np.add.reduceat(spread, first))], [np.arange(len(words))]
+    for n in GRAMS:
+        i = np.flatnonzero(at + n <= end)
+        h = np.full(len(i), n, np.uint64)
+        for j in range(n):
+            h = h * _BASE + char[i + j]
+        hashes.append(mix(h))
+        owner.append(word[i])
+    owner, bucket = np.concatenate(owner), (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int32)
+    order = np.argsort(owner, kind="stable")
+    return bucket[order], np.bincount(owner, minlength=len(words)).astype(np.int64)
 
 
 WORDS = re.compile(r"\w+")
@@ -60,20 +77,28 @@ class Model:
     shift: float
     constant: float | None = None
 
-    def word(self, word: str) -> float:
-        return float(self.parts[grams_of(word)].mean())
+    def words(self, words: list[str]) -> np.ndarray:
+        """Each word's part of the logit."""
+        bucket, n = grams_of(words)
+        return np.bincount(np.repeat(np.arange(len(words)), n), self.parts[bucket], len(words)) / np.maximum(n, 1)
 
 
-class _Parts(dict):
+class Parts:
+    """The parts of words seen lately, in a table of bounded size; a batch's new words are hashed together."""
+
     def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
+        self.model, self.known = model, {}
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = out = self.model.word(word)
-        return out
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
+        new = set().union(*texts)
+        new.difference_update(self.known)
+        new = list(new)
+        for a in range(0, len(new), 20_000):
+            some = new[a : a + 20_000]
+            self.known.update(zip(some, self.model.words(some).tolist()))
+        return [np.fromiter(map(self.known.__getitem__, w), np.float64, len(w)) for w in texts]
 
 
 def fresh(words: np.ndarray) -> np.ndarray:
@@ -112,9 +137,7 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float | None = None,
     flat = np.concatenate(docs) if sizes.sum() else np.zeros(0, np.int64)
     first = np.cumsum(sizes) - sizes
     new = np.concatenate([fresh(d) for d in docs]) if len(flat) else np.zeros(0, bool)
-    grams = [grams_of(w) for w in vocab]
-    g_len = np.array([len(g) for g in grams], np.int64)
-    g_flat = np.concatenate(grams) if grams else np.zeros(0, np.int32)
+    g_flat, g_len = grams_of(list(vocab))
     # Buckets that few texts touch could only be learnt by heart: their vectors stay 0.
     touched = np.zeros(BUCKETS, np.int64)
     g_first = np.cumsum(g_len) - g_len
@@ -205,16 +228,15 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float | None = None,
     return model
 
 
-def score_texts(model: Model, texts: list[str | None], parts: _Parts | None = None) -> np.ndarray:
+def score_texts(model: Model, texts: list[str | None], parts: Parts | None = None) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    parts = _Parts(model) if parts is None else parts
+    parts = parts or Parts(model)
     out = np.empty(len(texts))
-    for i, t in enumerate(texts):
-        w = words_of(t)
-        top = window_means(np.fromiter(map(parts.__getitem__, w), np.float64, len(w))).max() + model.bias
-        out[i] = _sigmoid(model.scale * top + model.shift)
-    return out
+    for a in range(0, len(texts), 500):
+        for i, p in enumerate(parts.of([words_of(t) for t in texts[a : a + 500]]), a):
+            out[i] = window_means(p).max() + model.bias
+    return _sigmoid(model.scale * out + model.shift)
 
 
 def held_out(id_: Column) -> Column:
@@ -238,7 +260,7 @@ def score_udf(model: Model, spark):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        parts = _Parts(sent.value)
+        parts = Parts(sent.value)
         for texts in batches:
             yield pd.Series(score_texts(sent.value, texts.tolist(), parts))
 
