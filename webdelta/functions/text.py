@@ -88,10 +88,16 @@ def robots_url(url: Column) -> Column:
 
 def entropy(value: Column) -> Column:
     """Shannon entropy in bits over the bytes of the value."""
-    data = F.regexp_extract_all(F.hex(F.encode(value, "UTF-8")), F.lit("(..)"), F.lit(1))
-    n = F.size(data).cast("double")
-    counts = F.transform(F.array_distinct(data), lambda b: F.size(F.filter(data, lambda x: x == b)).cast("double") / n)
-    return F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    # As ISO-8859-1 each byte is one character. At most 256 values are counted, so the cost is linear in the length.
+    data = F.decode(F.encode(value, "UTF-8"), "ISO-8859-1")
+
+    def bits(s: Column) -> Column:
+        n = F.length(s).cast("double")
+        counts = F.transform(F.array_distinct(F.split(s, "")), lambda b: n - F.length(F.replace(s, b, F.lit(""))))
+        return F.when(s == "", 0.0).otherwise(F.log2(n) - F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log2(c)) / n)
+
+    # A lambda's argument is computed once; an expression inside a lambda is computed for each element.
+    return F.when(value.isNotNull(), F.transform(F.array(data), bits)[0])
 
 
 def is_random_token(value: Column) -> Column:

@@ -106,7 +106,8 @@ h AS (SELECT doc_id, regexp_extract_all(hex(encode(s)), '..') AS xs FROM b),
 c AS (SELECT doc_id, len(xs) AS n, list_transform(list_distinct(xs), lambda x: len(list_filter(xs, lambda y: y = x)) / len(xs)::DOUBLE) AS ps FROM h)
 SELECT doc_id, round(coalesce(list_sum(list_transform(ps, lambda p: -p * log2(p))), 0), 6) AS bits FROM c""")
 def entropy_tokens(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.round(text.entropy(F.substring("text", 1, 60)), 6).alias("bits"))
+    """Over whole texts; the SQL scores their first 60 characters only."""
+    return _t(spark, d, "documents").select("doc_id", F.round(text.entropy(F.col("text")), 6).alias("bits"))
 
 
 _TOKENS = r"list_filter(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|\s+|[^\p{{L}}\p{{N}}_\s]'), lambda t: NOT regexp_matches(t, '^\s+$'))"
