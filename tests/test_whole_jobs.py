@@ -1,6 +1,7 @@
 """Queries over whole inputs against brute force, on small tables of their own."""
 
 import math
+import re
 from collections import Counter
 
 from webdelta.plans import queries
@@ -18,3 +19,18 @@ def test_entropy_of_whole_texts(spark, tmp_path):
         b = t.encode()
         assert abs(got[i] - sum(-c / len(b) * math.log2(c / len(b)) for c in Counter(b).values())) < 2e-6
     assert got[4] is None
+
+
+def test_jaccard_of_all_pairs(spark, tmp_path):
+    items = [(1, "the cat sat, the end"), (2, ""), (3, None), (60, "é_1   dog!")]
+    docs = [(0, "a cat sat"), (7, "  \n"), (12, "dog dog é_1 ! the"), (13, None)]
+    table(spark, tmp_path, "benchmark", items, "item_id long, text string")
+    table(spark, tmp_path, "documents", docs, "doc_id long, text string")
+    words = lambda t: {w for w in re.findall(r"\w+|[^\w\s]", t)}
+    want = {}
+    for i, a in items:
+        for j, b in docs:
+            x, y = (words(a), words(b)) if a is not None and b is not None else (None, None)
+            want[i, j] = None if x is None else round(len(x & y) / len(x | y), 9) if x | y else 1.0
+    got = queries.queries()["token_jaccard"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r["item_id"], r["doc_id"]): r["jaccard"] for r in got} == want

@@ -156,7 +156,8 @@ def tokens(text: Column) -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    return F.filter(tokens(text), lambda t: ~t.rlike(r"(?U)^\s+$"))
+    """tokens without those of white space."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -117,9 +117,15 @@ _TOKENS = r"list_filter(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|\s+|[^\p{{L}}
   FROM benchmark a JOIN documents d ON d.doc_id % 50 = a.item_id % 50)
 SELECT item_id, doc_id, CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE, 9) END AS jaccard FROM p""")
 def token_jaccard(spark, d):
-    a = _t(spark, d, "benchmark").select("item_id", F.array_distinct(text.word_tokens(F.col("text"))).alias("x"), (F.col("item_id") % 50).alias("k"))
-    b = _t(spark, d, "documents").select("doc_id", F.array_distinct(text.word_tokens(F.col("text"))).alias("y"), (F.col("doc_id") % 50).alias("k"))
-    return a.join(b, "k").select("item_id", "doc_id", F.round(text.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
+    """Every item with every document; the SQL pairs equal residues of 50 only. The items are a query set that is held whole by each task."""
+    from webdelta.functions.tokendiff import jaccards_udf
+
+    items = _t(spark, d, "benchmark").select("item_id", F.array_distinct(text.word_tokens(F.col("text"))).alias("x"))
+    rows = items.collect()
+    names = spark.createDataFrame([(k, r["item_id"]) for k, r in enumerate(rows)], f"k int, item_id {items.schema['item_id'].dataType.simpleString()}")
+    scores = jaccards_udf([r["x"] for r in rows])(F.array_distinct(text.word_tokens(F.col("text"))))
+    found = _t(spark, d, "documents").select("doc_id", F.posexplode(scores).alias("k", "jaccard")).join(names, "k")
+    return found.select("item_id", "doc_id", F.round(F.nullif("jaccard", F.lit(float("nan"))), 9).alias("jaccard"))
 
 
 # Typed values --------------------------------------------------------------------------------------------------------
