@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webdelta.functions.text import collapse, jaccard, tokens, word_tokens
+from webdelta.functions.text import collapse, tokens, word_tokens
 from webdelta.functions.tokendiff import greedy, increasing, inline_diff_udf, token_distance_udf
 from webdelta.plans.tables import settled
 
@@ -100,11 +100,19 @@ def affinity(o: Column, n: Column) -> Column:
 
 def similar_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     """Greedy one-to-one matches of residual blocks with their similarity."""
+    worded = lambda df, s: df.withColumn(s, F.col(s).withField("words", F.array_distinct(word_tokens(F.col(f"{s}.text")))))
+    old, new = worded(old, "o"), worded(new, "n")
     c = window_candidates(old, new).unionByName(minhash_candidates(old, new))
+    both = F.size(F.array_intersect("o.words", "n.words"))
+    union = F.size("o.words") + F.size("n.words") - both
+    jac = F.when(union == 0, 1.0).otherwise(both.cast("double") / union)
+    least = F.when(F.col("o.ty") == "table_row", SIMILAR_SHORT).otherwise(SIMILAR)
+    # The token distance is computed only where the pair passes if it were 0; the margin is for rounding to float.
+    c = c.withColumns({"jac": jac, "aff": affinity(F.col("o"), F.col("n"))}).filter(0.55 * F.col("jac") + 0.30 + 0.15 * F.col("aff") >= least - 1e-6)
+    c = c.withColumns({"o": F.col("o").dropFields("words"), "n": F.col("n").dropFields("words")})
     c = c.withColumns({"o_seq": F.col("o.seq"), "n_seq": F.col("n.seq")}).dropDuplicates([*PAIR, "o_seq", "n_seq"])
-    jac = jaccard(word_tokens(F.col("o.text")), word_tokens(F.col("n.text")))
-    c = c.withColumn("sim", (0.55 * jac + 0.30 * (1 - token_distance_udf(F.col("o.text"), F.col("n.text"))) + 0.15 * affinity(F.col("o"), F.col("n"))).cast("float"))
-    c = c.filter(F.col("sim") >= F.when(F.col("o.ty") == "table_row", SIMILAR_SHORT).otherwise(SIMILAR))
+    sim = 0.55 * F.col("jac") + 0.30 * (1 - token_distance_udf(F.col("o.text"), F.col("n.text"))) + 0.15 * F.col("aff")
+    c = settled(c.withColumn("sim", sim.cast("float")).filter(F.col("sim") >= least), "candidates")
     small = c.select(*PAIR, "o_seq", "n_seq", "sim")
     won = small.groupBy(*PAIR).applyInPandas(greedy, small.schema)
     return won.join(c.select(*PAIR, "o_seq", "n_seq", "o", "n"), [*PAIR, "o_seq", "n_seq"]).select(*PAIR, "o", "n", "sim")
