@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RING, SEEN, PAGE = 8, 1000, 1000
 
@@ -46,6 +48,38 @@ def crawl_waits(fetches: DataFrame, delay: float, host: str = "host", ts: str =
     return fetches.withColumns({"wait_s": F.coalesce(wait, F.lit(0)).cast("long")}).withColumn("allowed", F.col("wait_s") == 0)
 
 
+def gated(fetches: DataFrame, delay: float, host: str = "host", ts: str = "ts", tie: str | None = None) -> DataFrame:
+    """crawl_waits by the exact rule of crawl_gate: each fetch with its wait against the host's last fetch that was let through.
+
+    Fetches of one time come in the order of tie. A fetch without a time waits 0 and moves no clock. Hosts lie one after the
+    other in a partition, in order of time, and a task holds one host's stamp, so a host may have any number of fetches.
+    """
+    name = F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
+    rows = fetches.withColumns({"_host": name, "_t": F.unix_micros(F.col(ts).cast("timestamp"))})
+    rows = rows.repartition("_host").sortWithinPartitions("_host", "_t", *([tie] if tie else []))
+    need, names = round(delay * 1_000_000), fetches.columns
+
+    def fold(batches):
+        at, last = None, None
+        for b in batches:
+            waits = []
+            for h, t in zip(b.column("_host").to_pylist(), b.column("_t").to_pylist()):
+                if h != at:
+                    at, last = h, None
+                wait = 0
+                if t is not None:
+                    if last is None or t - last >= need:
+                        last = t
+                    else:
+                        wait = -((t - last - need) // 1_000_000)
+                waits.append(wait)
+            kept = b.select(names)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(waits, pa.int64()), pa.array([w == 0 for w in waits], pa.bool_())], [*names, "wait_s", "allowed"])
+
+    kinds = T.StructType([*fetches.schema.fields, T.StructField("wait_s", T.LongType()), T.StructField("allowed", T.BooleanType())])
+    return rows.mapInArrow(fold, kinds)
+
+
 def crawl_gate(fetches: DataFrame, delay: float, host: str = "host", ts: str = "ts") -> DataFrame:
     """The exact rule: only fetches that were let through move the host's clock. A fold over each host's times in order."""
     times = F.array_sort(F.collect_list(_seconds(ts)))
