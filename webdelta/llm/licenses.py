@@ -1,10 +1,11 @@
 """License scans: known sentences by identifier, then ordered rules over identifier sequences.
 
-A text is cut into sentences at line ends and after . ! ? ; followed by white space. A sentence is normalised (ASCII lower
-case, runs of white space to one space, no quotes, no leading comment marks, no closing punctuation) and looked up in the
-table of known licence sentences. What is left of a text is its sequence of identifiers, in order, and rules, most specific
-first, are ordered sequences that must appear in a row there. A text that has none of the words that every known sentence
-has at least one of is not cut at all.
+Lines lose their comment marks. A text is cut into pieces at line ends and after . ! ? ; followed by white space. A known
+sentence is one piece or several that follow each other without a blank line between them, so hard-wrapped texts and one-line
+notices are both found; where several known sentences begin at a piece, the longest counts. Comparison is after
+normalisation (ASCII lower case, runs of white space to one space, no quotes, no closing punctuation). What is left of a text
+is its sequence of identifiers, in order, and rules, most specific first, are ordered sequences that must appear in a row
+there. A text that has none of the words that every known sentence has at least one of is not cut at all.
 
 Defined results: null and empty texts have no sentences. Rows that repeat an id each give their row; null ids pass through.
 A sentence without a rule is reported in `sentences` and gives no licence. Other columns are not read.
@@ -12,6 +13,8 @@ A sentence without a rule is reported in `sentences` and gives no licence. Other
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,20 +64,24 @@ RULES = [
 ]
 #: Each known sentence has one of these, in some case of its letters.
 ANCHORS = "licen|permission|software|redistribut|warrant|copyright"
-CUT = r"(?:[\n\r]+|(?<=[.!?;])[ \t]+)"
+#: Known sentences from the start of a piece to the end of a piece, the longest first.
+FIND = r"(?<=\n)[ #*/>-]*+(" + "|".join(re.escape(t).replace(r"\ ", r"[ \n]") for t in sorted((t for x in SENTENCES.values() for t in x), key=len, reverse=True)) + r")(?=[ .!?;]*\n)"
 
 
-def normalised(sentence: Column) -> Column:
-    s = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\"“”'‘’`", "abcdefghijklmnopqrstuvwxyz")
-    s = F.regexp_replace(s, r"[ \t\x0b\x0c]+", " ")
-    return F.regexp_replace(F.regexp_replace(s, r"^[ #*/>-]+", ""), r"[ .!?;]+$", "")
+def pieces(text: Column) -> Column:
+    """The normalised text with a line end before, between and after its pieces; blank lines stay empty pieces."""
+    s = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\"“”'‘’`", "abcdefghijklmnopqrstuvwxyz")
+    s = F.regexp_replace(F.regexp_replace(s, r"\r\n?", "\n"), r"[ \t\x0b\x0c]+", " ")
+    # Comment marks around a line. Java's $ is told that only \n ends a line.
+    s = F.regexp_replace(F.regexp_replace(s, r"(?md)^[ #*/>-]+", ""), r"(?md) *(?:\*+/?)? *$", "")
+    return F.concat(F.lit("\n"), F.regexp_replace(s, r"(?<=[.!?;]) ", "\n"), F.lit("\n"))
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, sentences (identifiers in order), licenses (distinct, in the order of the rules)."""
     known = F.create_map(*[F.lit(x) for name, texts in SENTENCES.items() for t in texts for x in (t, name)])
     text = text_of(docs, text_col)
-    found = F.when(text.rlike(f"(?i){ANCHORS}"), F.array_compact(F.transform(F.split(text, CUT), lambda s: F.element_at(known, normalised(s))))).otherwise(F.array().cast("array<string>"))
+    found = F.when(text.rlike(f"(?i){ANCHORS}"), F.transform(F.regexp_extract_all(pieces(text), F.lit(FIND), F.lit(1)), lambda s: F.element_at(known, F.translate(s, "\n", " ")))).otherwise(F.array().cast("array<string>"))
     rows = docs.select(docs[id_col].alias("id"), found.alias("sentences"))
     left = F.concat(F.lit("|"), F.array_join("sentences", "||"), F.lit("|"))
     rows, names = rows.withColumn("left", left), []
