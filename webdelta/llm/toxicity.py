@@ -111,13 +111,12 @@ def fresh(words: np.ndarray) -> np.ndarray:
 
 
 def window_means(parts: np.ndarray) -> np.ndarray:
-    """Means over all windows of WINDOW words, half overlapping; the last reaches back. A short text is filled up with zeros."""
+    """Means over the windows of WINDOW words at every start. A short text is filled up with zeros."""
     n, parts = len(parts), parts * fresh(parts)
     if n <= WINDOW:
         return np.array([parts.sum() / WINDOW])
-    start = np.unique(np.append(np.arange(0, n - WINDOW + 1, WINDOW // 2), n - WINDOW))
     total = np.concatenate([[0.0], np.cumsum(parts)])
-    return (total[start + WINDOW] - total[start]) / WINDOW
+    return (total[WINDOW:] - total[:-WINDOW]) / WINDOW
 
 
 def _sigmoid(x):
@@ -151,14 +150,14 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float | None = None,
     kept = known[g_flat]
     g_word, g_row = np.repeat(np.arange(len(vocab), dtype=np.int32), g_len)[kept], row[g_flat[kept]]
     n_rows = int(known.sum())
-    # Windows: start, length and text of each.
+    # Windows at every start: start, length and text of each.
     starts, lengths, of_doc = [], [], []
     for d, (n, f) in enumerate(zip(sizes.tolist(), first.tolist())):
         if n:
-            at = np.unique(np.append(np.arange(0, max(1, n - WINDOW + 1), WINDOW // 2), max(0, n - WINDOW)))
-            starts.append(at + f)
-            lengths.append(np.full(len(at), min(n, WINDOW)))
-            of_doc.append(np.full(len(at), d))
+            at = np.arange(max(1, n - WINDOW + 1), dtype=np.int32)
+            starts.append(at + np.int32(f))
+            lengths.append(np.full(len(at), min(n, WINDOW), np.int32))
+            of_doc.append(np.full(len(at), d, np.int32))
     if not starts or not n_rows:
         return Model(np.zeros(BUCKETS), 0.0, 1.0, 0.0, share)
     starts, lengths, of_doc = map(np.concatenate, (starts, lengths, of_doc))
@@ -180,8 +179,10 @@ def fit(texts: list[str | None], labels: np.ndarray, share: float | None = None,
             rows = rng.choice(len(starts), min(len(starts), BATCH), replace=False)
             each = (weight / np.maximum(per_doc, 1))[of_doc[rows]] * (len(starts) / len(rows))
         elif rows is None or step % 4 == 0:
-            order = np.lexsort((logits(), of_doc))
-            rows = order[np.append(np.flatnonzero(np.diff(of_doc[order])), len(order) - 1)]
+            # The highest window of each text, the last of equal ones.
+            z, ends = logits(), np.cumsum(per_doc[per_doc > 0])
+            top = np.flatnonzero(z == np.repeat(np.maximum.reduceat(z, np.append(0, ends[:-1])), per_doc[per_doc > 0]))
+            rows = top[np.append(np.flatnonzero(np.diff(of_doc[top])), len(top) - 1)]
             each = weight[of_doc[rows]]
         w_len, doc = lengths[rows], of_doc[rows]
         w_first = np.cumsum(w_len) - w_len
