@@ -20,7 +20,7 @@ Once all rests together hold at most PAIRS pairs for each set, they are compared
 found by hashing to the smallest neighbour until nothing changes.
 
 A pair at the threshold meets in no band with probability (1 - t^rows)^bands: 8e-6 for 5 x 20 at 0.85 and 2e-6 for 4 x 25
-at 0.8. Defined results: texts without words have an empty set and link with nothing. Rows that repeat an id are judged each by
+at 0.8; lower thresholds get shorter bands, MISS at most, or are refused. Defined results: texts without words have an empty set and link with nothing. Rows that repeat an id are judged each by
 its own text. Rows without an id link with nothing: their component is null, and they are kept. Null text is empty. An
 empty table gives an empty result. Other columns, whatever their names, are untouched.
 """
@@ -41,13 +41,18 @@ from webdelta.llm.words import mix, shingle_sets
 
 #: Partners of a pivot that are verified in one group of rows; pairs for each set that the last rests may hold.
 GROUP, PAIRS = 256, 5
+#: Components of a signature, and the probability with which a pair at the threshold may meet in no band.
+COMPONENTS, MISS = 100, 1e-5
 #: Jaccard from which a node is near its pivot.
 NEAR = Fraction(1, 2)
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
-    """rows, bands."""
-    return (5, 20) if threshold >= 0.85 else (4, 25)
+    """rows, bands: of COMPONENTS, the longest bands of up to 5 rows that miss a pair at the threshold with probability MISS at most."""
+    for rows in (5, 4, 3, 2, 1):
+        if (1 - threshold**rows) ** (COMPONENTS // rows) <= MISS:
+            return rows, COMPONENTS // rows
+    raise ValueError(f"threshold {threshold}: {COMPONENTS} components miss more than {MISS} of the pairs at it")
 
 
 def signatures(values: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
