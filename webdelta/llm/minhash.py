@@ -6,18 +6,24 @@ step j cannot lower any: a set stops there, and large sets stop after the first
 lowers the variance of the estimate below that of independent ones. Bands of `rows` components make the buckets.
 
 Documents with equal sets are one node, so copies never make pairs. In each bucket all nodes are compared with one pivot
-(the node with the smallest hash), on full sets. With the pivot's set P, a node x is known by what it lacks and what it
-adds, D(x), and by its cost c(x) = (1 - a) |P - x| + a |x - P|, where a = t / (1 + t). Two nodes reach Jaccard t just when
+(the node with the smallest hash), on full sets; what a node lacks of the pivot and what it adds is kept where its Jaccard
+is NEAR or more. A node below NEAR can link only with nodes below NEAR + 1 - t, since 1 - Jaccard is a metric; those,
+without the pivot, are the bucket's rest and get a pivot of their own. Once all rests together hold at most PAIRS pairs for
+each set, they are compared pair by pair.
 
-    |D(x) & D(y)|  >=  c(x) + c(y) - |P| (1 - 2 a)
+The nodes near a pivot are then seen from a centre C: the elements that more than half of them have, one aggregation over
+their differences. With L(x) lacks of C, A(x) additions and the cost c(x) = (1 - a) L(x) + a A(x), where a = t / (1 + t),
+two nodes reach Jaccard t just when
 
-(common lacks plus common additions), and the pivot links to x when c(x) <= |P| (1 - 2 a). Nodes linked to the pivot are one
-group already, so of the nodes near it (Jaccard NEAR or more) only pairs with an unlinked node are left, and those must
-share elements of D: they are joined on the elements that at least two nodes of the pivot share, with the costs and the
-number of such elements as bounds before any pair is counted. A node below NEAR can link only with nodes below
-NEAR + 1 - t, since 1 - Jaccard is a metric; those, without the pivot, are the bucket's rest and get a pivot of their own.
-Once all rests together hold at most PAIRS pairs for each set, they are compared pair by pair. No bucket is capped and no group of copies is expanded. Groups are
-found by hashing to the smallest neighbour until nothing changes.
+    common lacks + common additions  >=  need  =  c(x) + c(y) - |C| (1 - 2 a).
+
+The node m of least cost therefore links to every x with c(x) + c(m) <= |C| (1 - 2 a), whatever they share: one group, with
+the pivot's links where m is one of them. A pair with a node r outside that group has need > 0. Common lacks are min(L) at
+most, so either the pair shares at least need - min(L) of the rare additions, or lacks alone may do. Both cases are excluded
+for whole classes of nodes of equal L by their least A and their largest number of shared additions; what is left is joined
+on additions that two nodes have, or paired within the class behind a bit map of lacks, and confirmed on the full
+differences. Edited copies far from each other thus need no pairs, though their lacks overlap. No bucket is capped and no
+group of copies is expanded. Groups are found by hashing to the smallest neighbour until nothing changes.
 
 A pair at the threshold meets in no band with probability (1 - t^rows)^bands: 8e-6 for 5 x 20 at 0.85 and 2e-6 for 4 x 25
 at 0.8; lower thresholds get shorter bands, MISS at most, or are refused. Defined results: texts without words have an empty set and link with nothing. Rows that repeat an id are judged each by
@@ -43,8 +49,8 @@ from webdelta.llm.words import mix, shingle_sets
 GROUP, PAIRS = 256, 5
 #: Components of a signature, and the probability with which a pair at the threshold may meet in no band.
 COMPONENTS, MISS = 100, 1e-5
-#: Jaccard from which a node is near its pivot.
-NEAR = Fraction(1, 2)
+#: Jaccard from which a node's differences from its pivot are kept.
+NEAR = Fraction(1, 4)
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
@@ -121,7 +127,7 @@ def sketched(docs: DataFrame, k: int, rows: int, bands: int, id_col: str, text_c
 
 
 def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """pairs: pivot, node, n (partners of the pivot); texts: set_key, text. Returns pivot, node, linked, near, far, cost, budget, delta (hashes; only of near nodes)."""
+    """pairs: pivot, node, n (partners of the pivot); texts: set_key, text. Returns pivot, node, linked, near, far, p_size, lacks, adds (hashes; only of near nodes)."""
     # Partners of one pivot are dealt to groups of about GROUP; the pivot's text goes to each of them.
     groups = F.ceil(F.col("n") / GROUP).cast("int")
     dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("node"), groups).cast("int"))
@@ -139,25 +145,22 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction) ->
             pv, pn = shingle_sets([t.encode() for t in unique], k)
             xv, xn = shingle_sets([(t or "").encode() for t in b.column("text").to_pylist()], k)
             pe, xe = np.cumsum(pn), np.cumsum(xn)
-            linked, near, far, cost, budget, deltas = [], [], [], [], [], []
+            linked, near, far, p_size, lacks, adds = [], [], [], [], [], []
+            none = np.zeros(0, np.int64)
             for i, u in enumerate(of):
                 p, x = pv[pe[u] - pn[u] : pe[u]], xv[xe[i] - xn[i] : xe[i]]
-                d = np.setxor1d(p, x, assume_unique=True)
-                lacks = (len(p) - len(x) + len(d)) // 2
-                adds = len(d) - lacks
-                # All in units of 1 / (num + den): a = num / (num + den).
-                c, full = den * lacks + num * adds, len(p) * (den - num)
-                both, union = len(p) - lacks, len(p) + adds
-                linked.append(c <= full)
+                lack = np.setdiff1d(p, x, assume_unique=True)
+                both, union = len(p) - len(lack), len(x) + len(lack)
+                linked.append(both * den >= num * union)
                 near.append(both * NEAR.denominator >= NEAR.numerator * union)
                 far.append(both * reach.denominator < reach.numerator * union)
-                cost.append(c)
-                budget.append(full)
-                deltas.append(d.view(np.int64) if near[-1] else d[:0].view(np.int64))
-            columns = [pivots, nodes, pa.array(linked), pa.array(near), pa.array(far), pa.array(cost, pa.int64()), pa.array(budget, pa.int64()), pa.array(deltas, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["pivot", "node", "linked", "near", "far", "cost", "budget", "delta"])
+                p_size.append(len(p))
+                lacks.append(lack.view(np.int64) if near[-1] else none)
+                adds.append(np.setdiff1d(x, p, assume_unique=True).view(np.int64) if near[-1] else none)
+            columns = [pivots, nodes, pa.array(linked), pa.array(near), pa.array(far), pa.array(p_size, pa.int64()), pa.array(lacks, pa.list_(pa.int64())), pa.array(adds, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["pivot", "node", "linked", "near", "far", "p_size", "lacks", "adds"])
 
-    return both.mapInArrow(run, "pivot binary, node binary, linked boolean, near boolean, far boolean, cost long, budget long, delta array<long>")
+    return both.mapInArrow(run, "pivot binary, node binary, linked boolean, near boolean, far boolean, p_size long, lacks array<long>, adds array<long>")
 
 
 def links(sets: DataFrame, docs: DataFrame, k: int, threshold: Fraction, id_col: str, text_col: str) -> DataFrame:
@@ -207,27 +210,72 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction) -
 
 
 def _beside_pivots(found: DataFrame, threshold: Fraction) -> DataFrame:
-    """Links between nodes near one pivot, at least one of them not linked to it, by the elements of D that they share."""
-    found = stored(found, "near")
+    """Links between nodes near one pivot, beside the pivot's own: of the centre's medoid, and of nodes outside its group."""
+    num, den = threshold.numerator, threshold.denominator
+    unit = num + den
+    found = stored(found.select("pivot", "node", "linked", "p_size", "lacks", "adds"), "near")
     total = found.count()
-    by_pivot = found.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("linked")).alias("apart"), F.min("cost").alias("least"), F.min(F.when(~F.col("linked"), F.col("cost"))).alias("least_apart")).filter("n > 1 AND apart > 0")
-    by_pivot = stored(by_pivot, "open-pivots")
-    unit = threshold.numerator + threshold.denominator
-    left = joined_with_hot(found, by_pivot, ["pivot"], "n", total)
-    # shared * unit >= cost(x) + cost(y) - budget, and shared <= |delta| of either.
-    least = F.when(F.col("linked"), F.col("least_apart")).otherwise(F.col("least"))
-    may = F.size("delta") * unit >= F.col("cost") - F.col("budget") + least
-    left = stored(left.filter(may).select("pivot", "node", "linked", "cost", "budget", least.alias("other"), F.explode("delta").alias("e")), "elements")
-    common = left.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("linked")).alias("u")).filter("m > 1 AND u > 0").select("pivot", "e")
-    shared = stored(left.join(common, ["pivot", "e"]), "shared")
-    count = shared.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("most"))
-    useful = stored(shared.join(count, ["pivot", "node"]).filter(F.col("most") * unit >= F.col("cost") - F.col("budget") + F.col("other")), "useful")
-    x = useful.filter("NOT linked").select("pivot", "e", F.col("node").alias("a"), F.col("cost").alias("ca"), "budget", F.col("most").alias("ma"))
-    y = useful.select("pivot", "e", F.col("node").alias("b"), F.col("cost").alias("cb"), F.col("most").alias("mb"), F.col("linked").alias("lb"))
-    lack = F.col("ca") + F.col("cb") - F.col("budget")
-    fits = (F.col("ma") * unit >= lack) & (F.col("mb") * unit >= lack) & (F.col("a") != F.col("b")) & (F.col("lb") | (F.col("a") < F.col("b")))
-    met = x.join(y, ["pivot", "e"]).filter(fits).groupBy("pivot", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.first(lack).alias("lack"))
-    return met.filter(F.col("n") * unit >= F.col("lack")).select("a", "b")
+    by_pivot = found.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("linked")).alias("apart"), F.first("p_size").alias("p_size"))
+    by_pivot = stored(by_pivot.filter("n > 1 AND apart > 0").drop("apart"), "open-pivots")
+    none = F.array().cast("array<long>")
+    own = by_pivot.select("pivot", F.col("pivot").alias("node"), F.lit(True).alias("linked"), "p_size", none.alias("lacks"), none.alias("adds"), "n")
+    nodes = stored(joined_with_hot(found.drop("p_size"), by_pivot, ["pivot"], "n", total).unionByName(own), "beside")
+    # The centre: the pivot's set, changed where more than half of the n + 1 nodes differ from it. All costs are in units of 1 / (num + den).
+    votes = nodes.select("pivot", "n", F.size("lacks").alias("l"), F.posexplode(F.concat("lacks", "adds")).alias("at", "e"))
+    flips = votes.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first(F.col("at") < F.col("l")).alias("lack")).filter("2 * m > n + 1")
+    flips = flips.groupBy("pivot").agg(F.collect_list(F.when(F.col("lack"), F.col("e"))).alias("out"), F.collect_list(F.when(~F.col("lack"), F.col("e"))).alias("in"))
+    # Each flip has over n / 2 votes, so a pivot's flips are at most twice as many as a node's differences. They go to each group of nodes.
+    groups = F.ceil(F.col("n") / GROUP).cast("int")
+    flips = by_pivot.join(flips, "pivot", "left").select("pivot", F.coalesce("out", none).alias("out"), F.coalesce("in", none).alias("in"), F.explode(F.sequence(F.lit(0), groups)).alias("deal"))
+    seen = nodes.withColumn("deal", F.pmod(F.xxhash64("node"), groups + 1).cast("int")).join(flips, ["pivot", "deal"])
+    lacks = F.concat(F.array_except("lacks", "out"), F.array_except("in", "adds"))
+    adds = F.concat(F.array_except("adds", "in"), F.array_except("out", "lacks"))
+    full = (F.col("p_size") - F.size("out") + F.size("in")) * (den - num)
+    seen = seen.select("pivot", "node", "linked", "n", full.alias("full"), lacks.alias("lacks"), adds.alias("adds"))
+    # 256 bits of the lacks.
+    bits = [F.expr(f"aggregate(filter(lacks, x -> (x & 3) = {i}), 0L, (m, x) -> m | shiftleft(1L, cast((x >> 2) & 63 as int)))").alias(f"w{i}") for i in range(4)]
+    seen = stored(seen.select("*", F.size("lacks").alias("l"), F.size("adds").alias("a"), (F.size("lacks") * den + F.size("adds") * num).cast("long").alias("cost"), *bits), "seen")
+    heads = stored(seen.groupBy("pivot").agg(F.min(F.struct("cost", "node", "linked")).alias("m"), F.count(F.lit(1)).alias("n")).select("pivot", "m", "n"), "medoids")
+    n_nodes = heads.agg(F.sum("n")).first()[0] or 0
+    core = F.col("cost") + F.col("m.cost") <= F.col("full")
+    marked = joined_with_hot(seen.drop("n"), heads, ["pivot"], "n", n_nodes).withColumn("core", core)
+    marked = stored(marked.withColumn("main", F.col("core") | (F.col("node") == F.col("m.node")) | (F.col("linked") & F.col("m.linked"))), "marked")
+    direct = marked.filter(F.col("core") & (F.col("node") != F.col("m.node"))).select(F.col("m.node").alias("a"), F.col("node").alias("b"))
+    # Additions that an outer node and one more have.
+    open_ = stored(marked.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("main")).alias("outer")).filter("outer > 0").select("pivot", "n"), "open")
+    left = joined_with_hot(marked.drop("n", "m", "core", "linked"), open_, ["pivot"], "n", n_nodes)
+    left = stored(left.drop("n"), "left")
+    each = left.select("pivot", "node", "main", "l", "cost", "full", F.explode("adds").alias("e"))
+    common = each.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("main")).alias("u")).filter("m > 1 AND u > 0").select("pivot", "e")
+    shared = stored(each.join(common, ["pivot", "e"]), "shared")
+    count = shared.groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("s"))
+    sized = left.drop("lacks", "adds").join(count, ["pivot", "node"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    sized = stored(sized, "sized")
+    outer = sized.filter("NOT main")
+    # For kinds of outer nodes and classes of equal l: the shared additions that a pair needs beside all common lacks, at the least.
+    classes = sized.groupBy("pivot", "l").agg(F.min("a").alias("az"), F.max("s").alias("sz")).withColumnRenamed("l", "lz")
+    need = F.col("cost") + F.col("lz") * den + F.col("az") * num - F.col("full") - F.least("l", "lz") * unit
+    kinds = outer.select("pivot", "l", "a", "s", "cost", "full").distinct().join(classes, "pivot").withColumn("need", need).filter(F.col("need") <= F.least("s", "sz") * unit)
+    kinds = stored(kinds.select("pivot", "l", "a", "s", "lz", "need"), "kinds")
+    by_adds = outer.join(kinds.filter("need > 0").select("pivot", "l", "a", "s").distinct(), ["pivot", "l", "a", "s"], "left_semi").select("pivot", "node")
+    x = shared.join(by_adds, ["pivot", "node"], "left_semi").select("pivot", "e", F.col("node").alias("x"), F.col("l").alias("lx"), F.col("cost").alias("cx"), "full")
+    y = shared.select("pivot", "e", F.col("node").alias("y"), F.col("l").alias("ly"), F.col("cost").alias("cy"), F.col("main").alias("my"))
+    once = (F.col("my") & (F.col("x") != F.col("y"))) | (F.col("x") < F.col("y"))
+    met = x.join(y, ["pivot", "e"]).filter(once).groupBy("pivot", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.first(F.col("cx") + F.col("cy") - F.col("full") - F.least("lx", "ly") * unit).alias("need"))
+    met = met.filter(F.col("n") * unit >= F.col("need")).select("pivot", "x", "y")
+    words = [f"w{i}" for i in range(4)]
+    x = outer.join(kinds.filter("need <= 0").select("pivot", "l", "a", "s", "lz"), ["pivot", "l", "a", "s"]).select("pivot", F.col("lz").alias("ly"), F.col("node").alias("x"), F.col("l").alias("lx"), F.col("cost").alias("cx"), F.col("s").alias("sx"), "full", *[F.col(w).alias(f"x{w}") for w in words])
+    y = sized.select("pivot", F.col("l").alias("ly"), F.col("node").alias("y"), F.col("cost").alias("cy"), F.col("s").alias("sy"), F.col("main").alias("my"), *[F.col(w).alias(f"y{w}") for w in words])
+    only = lambda p, q: functools.reduce(lambda u, v: u + v, [F.bit_count(F.col(f"{p}{w}").bitwiseAND(F.bitwise_not(F.col(f"{q}{w}")))) for w in words])
+    most = F.least(F.col("lx") - only("x", "y"), F.col("ly") - only("y", "x")) + F.least("sx", "sy")
+    alike = x.join(y, ["pivot", "ly"]).filter(once & (most * unit >= F.col("cx") + F.col("cy") - F.col("full"))).select("pivot", "x", "y")
+    pairs = stored(met.unionByName(alike).distinct(), "candidates")
+    full_sets = left.select("pivot", "node", "lacks", "adds", "cost", "full")
+    of = lambda k: full_sets.select("pivot", F.col("node").alias(k), F.col("lacks").alias(f"l{k}"), F.col("adds").alias(f"a{k}"), F.col("cost").alias(f"c{k}"), *(["full"] if k == "x" else []))
+    both = pairs.join(of("x"), ["pivot", "x"]).join(of("y"), ["pivot", "y"])
+    same = F.size(F.array_intersect("lx", "ly")) + F.size(F.array_intersect("ax", "ay"))
+    linked = both.filter(same * unit >= F.col("cx") + F.col("cy") - F.col("full")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return stored(direct.unionByName(linked).distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
