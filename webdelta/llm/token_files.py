@@ -15,24 +15,30 @@ in an order set by their tokens. An empty table gives no blocks. Other columns a
 
 from __future__ import annotations
 
+import array
 import functools
+import itertools
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webdelta.llm.bpe import KEPT_CHARS, Vocabulary
+from webdelta.llm.bpe import Vocabulary
 from webdelta.llm.common import discard, new_path, slices, stored
+from webdelta.llm.words import _BYTE, _SPACE, _power, mix
 
 MAGIC = b"RVB1"
 #: Ids in a block before it is closed.
 BLOCK_IDS = 1 << 18
-#: Words in a generation of a worker's table (about 200 bytes each, two generations), and words in a call to the library.
-TABLE, CALL = 280_000, 4096
+#: Words in a worker's table (about 30 bytes each) before it is begun anew, and words in a call to the library.
+TABLE, CALL = 1_000_000, 4096
+#: Bytes of a word that is hashed, and of text that is hashed at once.
+HASHED, BLOCK = 64, 1 << 20
 #: For each control byte the four lengths.
 LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -73,9 +79,10 @@ def id_code(path: str, end_id: int) -> str:
 
 class Library:
     """The tokenizers library over whole texts: each word between ASCII white space, across which this kind of tokenizer never
-    joins, is encoded once and kept in a table of bounded size; a batch's new words go to the library together."""
+    joins, is encoded once. Words are found and hashed in numpy over a whole slice, and their ids gathered from a table that is
+    sorted by 64-bit hash and of bounded size; only a slice's new words, and words over HASHED bytes, go to the library."""
 
-    def __init__(self, path: str, code: str):
+    def __init__(self, path: str, code: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -83,49 +90,113 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.code, self.known, self.old = code, {"": b""}, {}
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        words = []
-        for t in texts:
-            t = t or ""
-            for c in "\t\n\x0b\x0c\r":
-                if c in t:
-                    t = t.replace(c, " ")
-            words.append(t.split(" "))
-        new = set().union(*words)
-        new.difference_update(self.known)
-        for w in [w for w in new if w in self.old]:
-            self.known[w] = self.old[w]
-            new.discard(w)
-        new = list(new)
-        for a in range(0, len(new), CALL):
-            some = new[a : a + CALL]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.code).tobytes()
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
-        for w in new:
-            if len(w) > KEPT_CHARS:
-                del self.known[w]
-        if len(self.known) > TABLE:
-            self.old, self.known = self.known, {"": b""}
-        return out
+        self.code, self.end_id = code, end_id
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # The first id is the end id, which each text gets as its last word.
+        self.flat = np.array([self.end_id], self.code)
+        self._index()
+
+    def _index(self) -> None:
+        """Where each value of the leading bits starts in the table, so that a search looks at a row or two."""
+        self.shift = np.uint64(64 - max(8, len(self.hashes).bit_length()))
+        self.first = np.searchsorted(self.hashes >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64))
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The table's row of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        top = (h >> self.shift).astype(np.int64)
+        row, stop, left = self.first[top], self.first[top + 1], np.arange(len(h))
+        while True:
+            some = np.flatnonzero(row < stop)
+            if not len(some):
+                return out
+            row, stop, left = row[some], stop[some], left[some]
+            hit = self.hashes[row] == h[left]
+            out[left[hit]] = row[hit]
+            some = np.flatnonzero(~hit)
+            row, stop, left = row[some] + 1, stop[some], left[some]
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        ids, sizes = array.array("I"), []
+        for a in range(0, len(words), CALL):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + CALL], add_special_tokens=False)]
+            sizes += map(len, found)
+            ids.extend(itertools.chain.from_iterable(found))
+        return np.array(ids, self.code), np.array(sizes, np.int64)
+
+    def ids(self, texts: pa.Array) -> pa.Array:
+        """Each text's ids and the end id."""
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        inside = np.zeros(len(raw) + 2, bool)
+        np.logical_not(_SPACE[raw], out=inside[1:-1])
+        # A text's first byte starts a word, and the byte before it ends one, whatever they are.
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[edges] = True
+        start = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
+        end = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
+        size = end - start
+        h = np.zeros(len(start), np.uint64)
+        short = size <= HASHED
+        block = np.searchsorted(start, np.arange(0, len(raw) + BLOCK, BLOCK))
+        for i, (a, b) in enumerate(zip(block[:-1].tolist(), block[1:].tolist())):
+            part = raw[i * BLOCK : (i + 1) * BLOCK + HASHED]
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * _power(BLOCK + HASHED)[: len(part)], dtype=np.uint64)])
+            on = a + np.flatnonzero(short[a:b])
+            x = start[on] - i * BLOCK
+            value = (total[x + size[on]] - total[x]) * _power(BLOCK + HASHED, True)[x]
+            h[on] = mix(value + size[on].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        row = np.full(len(start), -1, np.int64)
+        on = np.flatnonzero(short)
+        row[on] = self._find(h[on])
+        miss = on[row[on] < 0]
+        if len(miss):
+            fresh, one = np.unique(h[miss], return_index=True)
+            one = miss[one]
+            got, n = self._encoded([raw[a:b].tobytes().decode() for a, b in zip(start[one].tolist(), end[one].tolist())])
+            hashes = np.concatenate([self.hashes, fresh])
+            order = np.argsort(hashes, kind="stable")
+            self.hashes = hashes[order]
+            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])[order]
+            self.size = np.concatenate([self.size, n])[order]
+            self.flat = np.concatenate([self.flat, got])
+            self._index()
+            row[on] = self._find(h[on])
+        at, n = self.at[row], self.size[row]
+        flat, long = self.flat, np.flatnonzero(~short)
+        if len(long):
+            got, m = self._encoded([raw[a:b].tobytes().decode() for a, b in zip(start[long].tolist(), end[long].tolist())])
+            at[long], n[long] = len(flat) + np.cumsum(m) - m, m
+            flat = np.concatenate([flat, got])
+        last = np.searchsorted(start, edges[1:])
+        at, n = np.insert(at, last, 0), np.insert(n, last, 1)
+        done = np.cumsum(n)
+        out = flat[np.repeat(at - done + n, n) + np.arange(int(done[-1]) if len(done) else 0)]
+        offsets = np.concatenate([[0], done[last + np.arange(len(last))]]) * out.itemsize
+        if len(self.hashes) > TABLE:
+            self._clear()
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
 
 
 @functools.lru_cache(2)
-def library(path: str, code: str) -> Library:
-    return Library(path, code)
+def library(path: str, code: str, end_id: int) -> Library:
+    return Library(path, code, end_id)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids: each text's ids and the end id, as id_code() says."""
     code = id_code(path, end_id)
-    end = np.array([end_id], code).tobytes()
 
     def run(batches):
-        words = library(path, code)
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x + end for x in words.ids(b.column("text").to_pylist())], pa.binary())], ["id", "ids"])
+        words = library(path, code, end_id)
+        for b in slices(batches, most=2 << 20):
+            yield pa.RecordBatch.from_arrays([b.column("id"), words.ids(b.column("text"))], ["id", "ids"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary")
