@@ -11,8 +11,12 @@ are dealt stably by the STEP bytes before them, and each entry moves to the row
 between two neighbours appears in the round that their common prefix ends in; intervals of one suffix are settled and leave.
 Only suffixes that `length` bytes of their piece precede are dealt. What is left after the last round are the intervals of
 suffixes with a common prefix of `length` bytes: the windows that repeat. No suffixes are sorted across shards.
-An anchor with more than HOT_PIECES different pieces (a frequent line in many surroundings) is
-split by its windows' place, first and last bytes, which equal windows share, so no task holds more than its part of it.
+An anchor with more than HOT_PIECES different pieces (a frequent line in many surroundings) is split: its pieces are cut into
+parts of LEVELS windows in a row by the anchor's place in the window, and the bytes that all windows of a part share, by
+which equal windows of different pieces have equal parts' routes, take the anchor's place. Equal parts are one again before
+anything is merged, so the windows inside the line collapse, and parts that nothing else shares leave; parts that are still
+hot are cut further, down to single windows, whose equals are one by their hash. No route that is merged has more than
+HOT_PIECES pieces.
 
 Defined results: null text is empty. Matches never cross documents. Rows that repeat id and text are copies of each other,
 so all their bytes go where they are long enough. Null ids are ids. An empty table gives an empty result. Other columns are
@@ -36,6 +40,8 @@ from webdelta.llm.words import _BYTE, _power, mix
 END = 0xFF
 #: Bytes of pieces that are merged at once, and of one shard of them; pieces of an anchor before it is split.
 CHUNK, SHARD, HOT_PIECES = 1 << 20, 1 << 18, 1024
+#: Windows of a part of a hot anchor's piece, level by level.
+LEVELS = (20, 3, 1)
 #: Bytes that a round of the merge refines by.
 STEP = 8
 _PLACE_BITS = 20
@@ -186,89 +192,109 @@ def repeats(docs: DataFrame, length: int = 200, k: int = 40, id_col: str = "doc_
             found = [anchors(np.frombuffer(t.encode(), np.uint8), length, k) for t in b.column("text").to_pylist()]
             at = pa.array(np.repeat(np.arange(b.num_rows), [len(f[0]) for f in found]))
             first, count, place, h = (np.concatenate([f[i] for f in found]) for i in range(4))
-            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("text_hash").take(at), pa.array(first), pa.array(count, pa.int32()), pa.array(h.view(np.int64))], ["id", "text_hash", "first", "windows", "anchor"])
+            columns = [b.column("id").take(at), b.column("text_hash").take(at), pa.array(first), pa.array(count, pa.int32()), pa.array(place - first), pa.array(h.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "first", "windows", "place", "anchor"])
 
-    runs = stored(rows.filter(F.octet_length("text") >= length).mapInArrow(find, f"id {kind}, text_hash long, first long, windows int, anchor long"), "anchors")
+    runs = stored(rows.filter(F.octet_length("text") >= length).mapInArrow(find, f"id {kind}, text_hash long, first long, windows int, place long, anchor long"), "anchors")
     twice = stored(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
     total = twice.agg(F.sum("n")).first()[0] or 0
     kept = joined_with_hot(runs, twice, ["anchor"], "n", total)
-    per_doc = stored(kept.groupBy("id", "text_hash").agg(F.collect_set(F.struct("first", "windows", "anchor")).alias("runs")), "runs")
+    per_doc = stored(kept.groupBy("id", "text_hash").agg(F.collect_set(F.struct("first", "windows", "place", "anchor")).alias("runs")), "runs")
     _release(spark)
 
     def cut(batches):
         for b in slices(batches):
-            out = {c: [] for c in ("id", "text_hash", "first", "windows", "anchor", "piece", "key")}
+            out = {c: [] for c in ("id", "text_hash", "first", "windows", "place", "anchor", "piece", "key")}
             for i, t, runs_, doc, text_hash in zip(range(b.num_rows), b.column("text").to_pylist(), b.column("runs").to_pylist(), b.column("id").to_pylist(), b.column("text_hash").to_pylist()):
                 data = t.encode()
                 for r in runs_:
                     piece = data[r["first"] : r["first"] + r["windows"] - 1 + length]
-                    for c, v in zip(out, (doc, text_hash, r["first"], r["windows"], r["anchor"], piece, hashlib.blake2b(piece, digest_size=16).digest())):
+                    for c, v in zip(out, (doc, text_hash, r["first"], r["windows"], r["place"], r["anchor"], piece, hashlib.blake2b(piece, digest_size=16).digest())):
                         out[c].append(v)
-            kinds = (b.schema.field("id").type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            kinds = (b.schema.field("id").type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
     left, right = rows.withColumnRenamed("id", "r_id").withColumnRenamed("text_hash", "r_hash"), per_doc
     both = left.join(right, left["r_id"].eqNullSafe(right["id"]) & (left["r_hash"] == right["text_hash"])).select("id", "text_hash", "text", "runs")
-    pieces = stored(both.mapInArrow(cut, f"id {kind}, text_hash long, first long, windows int, anchor long, piece binary, key binary"), "pieces")
+    pieces = stored(both.mapInArrow(cut, f"id {kind}, text_hash long, first long, windows int, place long, anchor long, piece binary, key binary"), "pieces")
     for old in (runs, twice, per_doc):
         discard(old)
     _release(spark)
-    one = F.min(F.struct("anchor", "windows", "piece")).alias("p")
-    distinct = stored(pieces.groupBy("key").agg(one, F.count(F.lit(1)).alias("n")).select("key", "p.anchor", "p.windows", "p.piece", "n"), "distinct")
+    one = F.min(F.struct("anchor", "place", "windows", "piece")).alias("p")
+    distinct = stored(pieces.groupBy("key").agg(one, F.count(F.lit(1)).alias("n")).select("key", F.col("p.anchor").alias("route"), "p.place", "p.windows", "p.piece", "n"), "distinct")
     _release(spark)
-    by_anchor = stored(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces")).filter("pieces > 1"), "by-anchor")
-    n_distinct = by_anchor.agg(F.sum("pieces")).first()[0] or 0
-    met = joined_with_hot(distinct, by_anchor, ["anchor"], "pieces", n_distinct)
 
-    def route(batches):
-        for b in slices(batches, ("piece",)):
-            if not (np.asarray(b.column("pieces")) > HOT_PIECES).any():
-                yield pa.RecordBatch.from_arrays([b.column("anchor"), b.column("key"), b.column("piece"), b.column("n"), pa.array(np.zeros(b.num_rows, np.int64))], ["route", "key", "piece", "n", "at"])
-                continue
-            out = [[], [], [], [], []]
-            for r in b.to_pylist():
-                if r["pieces"] <= HOT_PIECES:
-                    for c, v in zip(out, (r["anchor"], r["key"], r["piece"], r["n"], 0)):
-                        c.append(v)
-                    continue
-                p = r["piece"]
-                for s in range(r["windows"]):
-                    w = p[s : s + length]
-                    # Equal windows have the same anchor, first and last bytes, so they take one route.
-                    to = int.from_bytes(hashlib.blake2b(r["anchor"].to_bytes(8, "little", signed=True) + w[:24] + w[-24:], digest_size=8).digest(), "little", signed=True)
-                    for c, v in zip(out, (to, r["key"], w, r["n"], s)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], ["route", "key", "piece", "n", "at"])
+    def parts_of(width):
+        def run(batches):
+            for b in slices(batches, ("piece",), 1 << 20):
+                out = [[], [], [], [], [], [], []]
+                for parent, route_, place, windows, piece in zip(*(b.column(c).to_pylist() for c in ("key", "route", "place", "windows", "piece"))):
+                    first = 0
+                    while first < windows:
+                        # Windows whose anchor lies at low, ..., low + width - 1 all hold the bytes between the last one's start and the first one's end.
+                        low = (place - first) // width * width
+                        n = min(windows - first, place - first - low + 1)
+                        part, core = piece[first : first + n - 1 + length], piece[place - low : place - low - width + 1 + length]
+                        to = hashlib.blake2b(b"%d %d " % (route_, low) + core, digest_size=8).digest()
+                        for c, v in zip(out, (parent, first, int.from_bytes(to, "little", signed=True), place - first, n, part, hashlib.blake2b(part, digest_size=16).digest())):
+                            c.append(v)
+                        first += n
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["parent", "at", "route", "place", "windows", "piece", "key"])
+
+        return run
 
     def merge(batches):
-        keys, held, at, size, last = [], [], [], 0, None
+        keys, held, size, last = [], [], 0, None
 
         def done():
             out = [[], [], []]
-            for key, a, places in zip(keys, at, repeated_windows(held, length)):
+            for key, places in zip(keys, repeated_windows(held, length)):
                 for s, e in zip(*(x.tolist() for x in merged_spans(places, places + length))):
-                    for c, v in zip(out, (key, a + s, a + e)):
+                    for c, v in zip(out, (key, s, e)):
                         c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64()))], ["key", "start", "end"])
 
         for b in slices(batches, ("piece",)):
-            for route_, key, piece, place in zip(*(b.column(c).to_pylist() for c in ("route", "key", "piece", "at"))):
+            for route_, key, piece in zip(*(b.column(c).to_pylist() for c in ("route", "key", "piece"))):
                 if size >= CHUNK and route_ != last:
                     yield done()
-                    keys, held, at, size = [], [], [], 0
+                    keys, held, size = [], [], 0
                 keys.append(key)
                 held.append(piece)
-                at.append(place)
                 size += len(piece)
                 last = route_
         if held:
             yield done()
 
-    routed = met.select("anchor", "key", "piece", "n", "windows", "pieces").mapInArrow(route, "route long, key binary, piece binary, n long, at long")
-    some = routed.repartition("route").sortWithinPartitions("route", "key", "at").mapInArrow(merge, "key binary, start long, end long")
-    # A piece that occurs twice repeats as a whole.
-    whole = distinct.filter("n > 1").select("key", F.lit(0).cast("long").alias("start"), F.octet_length("piece").cast("long").alias("end"))
-    covered = stored(some.unionByName(whole).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")).join(distinct.select("key", "n"), "key"), "covered")
+    level, levels, routed = distinct, [], None
+    for width in (*LEVELS, None):
+        by_route = stored(level.groupBy("route").agg(F.count(F.lit(1)).alias("pieces")).filter("pieces > 1"), "by-route")
+        n_met, most = by_route.agg(F.sum("pieces"), F.max("pieces")).first()
+        met = joined_with_hot(level, by_route, ["route"], "pieces", n_met or 0)
+        some = met.filter(F.col("pieces") <= HOT_PIECES).select("route", "key", "piece")
+        routed = some if routed is None else routed.unionByName(some)
+        if (most or 0) <= HOT_PIECES:
+            break
+        hot = met.filter(F.col("pieces") > HOT_PIECES).select("key", "route", "place", "windows", "piece")
+        parts = stored(hot.mapInArrow(parts_of(width), "parent binary, at long, route long, place long, windows int, piece binary, key binary"), "parts")
+        level = parts.groupBy("key").agg(F.min(F.struct("route", "place", "windows", "piece")).alias("p"), F.count(F.lit(1)).alias("n"))
+        level = stored(level.select("key", "p.route", "p.place", "p.windows", "p.piece", "n"), "distinct-parts")
+        levels.append((parts.select("parent", "at", "key"), level))
+    found = routed.repartition("route").sortWithinPartitions("route", "key").mapInArrow(merge, "key binary, start long, end long")
+    # A piece, or a part, that occurs twice repeats as a whole.
+    for table in [distinct, *(x for _, x in levels)]:
+        found = found.unionByName(table.filter("n > 1").select("key", F.lit(0).cast("long").alias("start"), F.octet_length("piece").cast("long").alias("end")))
+
+    def covered_by(found, table):
+        return stored(found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")).join(table.select("key", "n"), "key"), "covered")
+
+    if levels:
+        found = stored(found, "spans")
+    for members, table in reversed(levels):
+        up = joined_with_hot(members, covered_by(found, table), ["key"], "n", members.count()).select(F.col("parent").alias("key"), "at", F.explode("spans").alias("s"))
+        found = stored(found.unionByName(up.select("key", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end")).distinct()), "spans")
+    covered = covered_by(found, distinct)
     discard(distinct)
     _release(spark)
     n_pieces = pieces.count()
