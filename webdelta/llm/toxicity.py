@@ -6,7 +6,8 @@ vectors. A window of WINDOW words is the mean of its words, and a linear softmax
 A few toxic words make a text toxic however long it is, so a text takes the logit of its highest window; training follows
 the same rule: after a start in which each window takes its text's label, each text trains through its highest window.
 Embeddings and softmax are trained jointly, by Adam, on at most SAMPLE labelled rows: of either label the SAMPLE / 2 with the
-smallest hashes of their ids. The logit is scaled by a line fitted on the training rows, and the decision is score >= THRESHOLD.
+smallest hashes of their ids, and of those, in that order, the ones that fit SAMPLE_BYTES of text. They are gathered in one
+task on an executor, which returns the model's numbers alone; no text reaches the driver. The logit is scaled by a line fitted on the training rows, and the decision is score >= THRESHOLD.
 
 Since the softmax is linear, a word's part of the logit is one number: scoring looks up that number for each word.
 
@@ -21,15 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webdelta.llm.common import whole_row
 from webdelta.llm.words import mix
 
 BUCKETS, DIMS, WINDOW = 1 << 16, 8, 8
-#: Labelled rows that training reads at most.
-SAMPLE = 5000
+#: Labelled rows, and bytes of their texts, that training reads at most.
+SAMPLE, SAMPLE_BYTES = 5000, 24 << 20
 THRESHOLD = 0.7
 GRAMS = (3, 4, 5, 6)
 _BASE, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -249,11 +250,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     rows = rows.filter(~held_out(F.col("id"))).dropDuplicates()
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
     some = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(SAMPLE // 2) for k in (0, 1)]
     # SAMPLE rows of two numbers at most.
     few = F.broadcast(some[0].unionByName(some[1]))
-    got = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(few, "id").toPandas().sort_values(["id", "label"])
-    return fit(got["text"].tolist(), got["label"].to_numpy(), counts.get(1, 0) / max(1, sum(counts.values())))
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(few, "id")
+    key = [F.xxhash64("id"), F.col("id"), F.col("label"), F.xxhash64("text")]
+    sized = texts.select(*[k.alias(f"k{i}") for i, k in enumerate(key)], F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    # A window over SAMPLE rows of numbers.
+    keys = ["k0", "k1", "k2", "k3"]
+    fits = sized.dropDuplicates(keys).orderBy(*keys).limit(SAMPLE).withColumn("held", F.sum("size").over(Window.orderBy(*keys))).filter(F.col("held") <= SAMPLE_BYTES).select("k1", "k2", "k3")
+    texts = texts.withColumn("k", F.xxhash64("text")).join(F.broadcast(fits), (F.col("id") == F.col("k1")) & (F.col("label") == F.col("k2")) & F.col("k").eqNullSafe(F.col("k3")))
+    sample = texts.select(F.col("id").cast("string").alias("id"), "label", "text", "k").dropDuplicates(["id", "label", "k"])
+
+    def learn(batches):
+        held = pd.concat([pd.DataFrame({"id": [], "label": [], "text": [], "k": []}), *batches]).sort_values(["id", "label", "k"])
+        m = fit(held["text"].tolist(), held["label"].to_numpy(np.float64), share)
+        yield pd.DataFrame({"parts": [np.asarray(m.parts, "<f8").tobytes()], "bias": [m.bias], "scale": [m.scale], "shift": [m.shift], "constant": [m.constant]})
+
+    got = sample.repartition(1).mapInPandas(learn, "parts binary, bias double, scale double, shift double, constant double").first()
+    if got is None:
+        return Model(np.zeros(BUCKETS), 0.0, 1.0, 0.0, share)
+    return Model(np.frombuffer(got["parts"], "<f8"), got["bias"], got["scale"], got["shift"], got["constant"])
 
 
 def score_udf(model: Model, spark):
