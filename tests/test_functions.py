@@ -37,12 +37,63 @@ def test_values(spark):
     assert tuple(one(spark, "$1,234.56 per month", values.price)) == (123456, "USD", "mo")
     assert tuple(one(spark, "CHF 9", values.price)) == (900, "CHF", None)
     assert one(spark, "from $5", values.price) is None
-    assert str(one(spark, "on 2024-02-30 or 2024-02-28.", values.date)) == "2024-02-28"
     assert one(spark, "⟦TS⟧ 2024-02-28", values.date) is None
     assert one(spark, "1,200.50", values.number) == "1200.5"
     assert one(spark, "12 kg", values.number) is None
 
 
+def test_prices_dates_and_times_by_the_rules(spark):
+    """Expected values by the rules' text: the whole run of digits is the amount, the first date-shaped word decides."""
+    prices = {
+        "$5 mo": (500, "USD", "mo"), "$5/monthly": (500, "USD", "mo"), "$9 annually": (900, "USD", "yr"), "$5 users": (500, "USD", "user"), "$.50": (50, "USD", None), "$1.2.3": None, "$5/mo,": (500, "USD", None),
+        " € 7 / day": (700, "EUR", "day"), "CHF\t1,000.005": (100000, "CHF", None), "CHF9": None, "$": None, "$,": None, "£3 per seat now": (300, "GBP", "seat"), "$5 monthlyish": (500, "USD", None), "": None,
+    }
+    got = {r["s"]: r["p"] for r in spark.createDataFrame([(k,) for k in prices], "s string").select("s", values.price(F.col("s")).alias("p")).collect()}
+    assert {k: v and tuple(v) for k, v in got.items()} == prices
+    dates = {
+        "2024/05/06": "2024-05-06", "2024-5-6": "2024-05-06", "2024-05-06T10:00:00Z": None, "2024-05-06,": None, "2024-13-45 then 2024-05-06": None, "on 2024-02-30 or 2024-02-28": None,
+        "x 2024-05-06, then 2023/1/2": "2023-01-02", "2024/05-06": None, "12024-05-06": None, "": None,
+    }
+    got = {r["s"]: r["p"] for r in spark.createDataFrame([(k,) for k in dates], "s string").select("s", values.date(F.col("s")).alias("p")).collect()}
+    assert {k: v and str(v) for k, v in got.items()} == dates
+    times = {
+        "an hour ago": "⟦TS⟧", "a few days from now": "⟦TS⟧", "in several weeks": "⟦TS⟧", "moment ago": "⟦TS⟧", "as of 10:00 CEST": "⟦TS⟧", "5 min ago": "5 min ago", "3 hrs ago": "3 hrs ago", "Last updated 9:05:07 pm": "⟦TS⟧", "in 12 Months.": "⟦TS⟧.",
+        "within 3 days": "within 3 days",
+    }
+    got = {r["s"]: r["p"] for r in spark.createDataFrame([(k,) for k in times], "s string").select("s", text.mask_times(F.col("s")).alias("p")).collect()}
+    assert got == times
+
+
+def test_worst_code_and_ceiling(spark):
+    """Each code against each: the order is that of the severities; an event over the ceiling keeps both sides, marked."""
+    from webdelta.operators import events
+
+    order = [0, 11, 12, 10, 3, 6, 4, 5, 7, 2, 1]
+    rows = [(i * 20 + j, c) for i, a in enumerate(order) for j, b in enumerate(order) for c in (a, b)]
+    got = {r["run"]: r["exit_code"] for r in events.worst_code(spark.createDataFrame(rows, "run int, exit_code int")).collect()}
+    assert all(got[i * 20 + j] == order[max(i, j)] for i in range(len(order)) for j in range(len(order)))
+    kind = "enc string, a string, b string, atrunc boolean, ops array<array<string>>, added int, truncated int, sample array<string>"
+    long = [["=", "x"], ["-", "o" * 900], ["+", "n" * 9000]]
+    rows = [(0, ("idiff", None, None, None, long, None, None, None)), (1, ("struct", None, None, None, None, 7, 2, ["s" * 9000, "t"])), (2, ("val", "a", "b", None, None, None, None, None))]
+    got = {r["k"]: r["event"]["delta"].asDict() for r in events.under_ceiling(spark.createDataFrame(rows, f"k int, delta struct<{kind.replace(' ', ':').replace(',:', ',')}>").select("k", F.struct("delta").alias("event"))).collect()}
+    assert (got[0]["enc"], got[0]["a"], got[0]["b"], got[0]["atrunc"], got[0]["ops"]) == ("block", "x" + "n" * 599, "x" + "o" * 599, True, None)
+    assert (got[1]["enc"], got[1]["added"], got[1]["truncated"], got[1]["sample"]) == ("struct", 7, 4, [])
+    assert (got[2]["enc"], got[2]["a"]) == ("val", "a")
+
+
+def test_packed_bodies():
+    import gzip
+
+    import pytest
+
+    from webdelta.sources.http import decoded
+
+    packed = gzip.compress(b"text" * 100)
+    assert decoded(packed, "gzip", 400) == "text" * 100 and decoded(packed, "gzip", 399) is None and decoded(b"12345", None, 4) is None
+    with pytest.raises(EOFError):
+        decoded(packed[:-12], "gzip", 400)
+
+
 @given(st.lists(st.sampled_from("abc ")), st.lists(st.sampled_from("abc ")))
 @settings(max_examples=200, deadline=None)
 def test_edit_script_rebuilds_both_sides_and_is_shortest(a, b):

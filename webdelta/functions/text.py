@@ -17,8 +17,10 @@ BOILERPLATE = ["ad", "promo", "cookie", "banner", "newsletter", "social-share",
 FRAMEWORK_ID = r"^(:r[0-9a-z]+:|radix-|headlessui-|mui-|ember\d)"
 VOLATILE_NAME = r"(nonce|csrf|^data-reactid$|^data-v-|^data-svelte-)"
 TOKEN_ATTR = r"(token|nonce|csrf|session|^data-|^id$|^value$|^content$)"
-_UNIT = r"(?:second|sec|minute|min|hour|hr|day|week|month|year)s?"
-RELATIVE = rf"(?i)\b\d+\s+{_UNIT}\s+(?:ago|from\s+now)\b|\bin\s+\d+\s+{_UNIT}\b|\b(?:as\s+of|(?:last\s+)?updated)\s+\d{{1,2}}:\d{{2}}(?::\d{{2}})?(?:\s*[ap]m)?\b|\bjust\s+now\b|\bmoments\s+ago\b"
+#: Relative times.
+_MANY, _UNIT = r"(?:\d+|an?|a\sfew|several)", r"(?:second|minute|hour|day|week|month|year)s?"
+_CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?(?:\s*[A-Za-z]{2,4})?"
+RELATIVE = rf"(?i)\b(?:{_MANY}\s+{_UNIT}\s+(?:ago|from\s+now)|in\s+{_MANY}\s+{_UNIT}|as\s+of\s+{_CLOCK}|(?:last\s+)?updated\s+{_CLOCK}|just\s+now|moments?\s+ago)\b"
 
 
 def collapse(text: Column) -> Column:

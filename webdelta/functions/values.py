@@ -5,32 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Currency by sign; period by what follows the amount.
+#: Currency by sign; period by the word that follows the amount.
 SIGNS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
-PERIODS = {"mo": "mo", "month": "mo", "yr": "yr", "year": "yr", "wk": "wk", "week": "wk", "day": "day", "seat": "seat", "user": "user"}
-_PRICE = r"^(?:([$€£¥])\s*|([A-Z]{3})\s+)(\d[\d,]*(?:\.\d+)?)(.*)$"
+PERIODS = {
+    "mo": "mo", "month": "mo", "monthly": "mo", "yr": "yr", "year": "yr", "yearly": "yr", "annual": "yr", "annually": "yr", "wk": "wk", "week": "wk", "weekly": "wk",
+    "day": "day", "daily": "day", "seat": "seat", "seats": "seat", "user": "user", "users": "user",
+}
+#: A sign, or three capitals and white space; then the whole run of digits, commas and points, and what follows it.
+_PRICE = r"^\s*(?:([$€£¥])|([A-Z]{3})[\t\n\f\r ])\s*([\d,.]*\d[\d,.]*)([\s\S]*)$"
+_DATE = r"^(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2})$"
 
 
 def price(text: Column) -> Column:
-    """struct(minor, currency, period) of a text that starts with a price, else null. Minor units are hundredths, halves to even."""
+    """struct(minor, currency, period) of a text that starts with a price, else null. Minor units are hundredths, halves to even.
+
+    An amount that is no number without its commas (1.2.3) makes no price. The period is the first word after the amount,
+    behind slashes, spaces and "per"; another word, or one with a comma, gives none.
+    """
     sign, code, amount, rest = (F.regexp_extract(text, _PRICE, i) for i in (1, 2, 3, 4))
     currency = code
     for s, c in SIGNS.items():
         currency = F.when(sign == s, c).otherwise(currency)
-    unit = F.regexp_extract(F.lower(rest), r"^\s*(?:/|per\s+)\s*([a-z]+)", 1)
+    word = F.regexp_extract(F.lower(F.trim(F.regexp_replace(rest, "^[/ ]+", ""))), r"^\s*(?:per )?\s*(\S+)", 1)
     period = F.lit(None).cast("string")
     for u, p in PERIODS.items():
-        period = F.when(unit == u, p).otherwise(period)
-    minor = F.bround(F.replace(amount, F.lit(","), F.lit("")).try_cast("decimal(30,6)") * 100, 0).cast("long")
+        period = F.when(word == u, p).otherwise(period)
+    plain = F.replace(amount, F.lit(","), F.lit(""))
+    minor = F.bround(F.when(plain.rlike(r"^\d*\.?\d*$"), plain).try_cast("decimal(30,6)") * 100, 0).cast("long")
     return F.when(text.rlike(_PRICE) & minor.isNotNull(), F.struct(minor.alias("minor"), currency.alias("currency"), period.alias("period")))
 
 
+def first_date(text: Column) -> Column:
+    """The first word of the shape year-month-day or year/month/day, as a date; null if that word is none, whatever follows."""
+    word = F.get(F.filter(F.split(text, r"(?U)\s+"), lambda w: w.rlike(_DATE)), F.lit(0))
+    return F.to_date(F.try_to_timestamp(F.replace(word, F.lit("/"), F.lit("-")), F.lit("yyyy-M-d")))
+
+
 def date(text: Column) -> Column:
-    """The first word of the text that is an ISO date, unless the text has a masked time."""
+    """first_date() of a text without a masked time."""
     from webdelta.functions.text import TIME_MARK
 
-    found = F.filter(F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, r"[.,;:)]+$", "")), lambda w: w.rlike(r"^\d{4}-\d{2}-\d{2}(?:T.*)?$") & F.try_to_timestamp(F.substring(w, 1, 10), F.lit("yyyy-MM-dd")).isNotNull())
-    return F.when(~F.contains(text, F.lit(TIME_MARK)), F.to_date(F.substring(F.get(found, F.lit(0)), 1, 10)))
+    return F.when(~F.contains(text, F.lit(TIME_MARK)), first_date(text))
 
 
 def number(text: Column) -> Column:

@@ -11,12 +11,13 @@ from webdelta.operators.packs import Pack
 from webdelta.operators.salience import MATERIALITY, f, rank_of
 from webdelta.operators.segment import DOC
 
-CEILING, ANCHOR_CAP, LABEL_CAP, SUMMARY_CAP, CUT_TEXT = 8192, 160, 240, 160, 400
+CEILING, ANCHOR_CAP, LABEL_CAP, SUMMARY_CAP, CUT_TEXT = 8192, 160, 240, 160, 600
 LOW_OVERLAP = 0.3
 SEPARATOR = " › "
-#: The role that an event names for a block type, and exit codes with their rank, worst first.
+#: The role that an event names for a block type, exit codes, and their order, worst last.
 ROLE = {"price": "price", "date": "date", "number": "meta", "heading": "prose", "link": "link", "code": "code", "table_row": "table-cell", "table": "table-cell", "paragraph": "prose", "list_item": "prose", "text": "prose"}
-EXIT = {"no_change": 0, "changed": 10, "baseline": 11, "below_gate": 12, "fetch_error": 3, "auth": 5, "rate_limited": 6}
+EXIT = {"no_change": 0, "changed": 10, "baseline": 11, "below_gate": 12, "usage": 1, "not_found": 2, "fetch_error": 3, "robots": 4, "auth": 5, "rate_limited": 6, "render_needed": 7}
+SEVERITY = ["no_change", "baseline", "below_gate", "changed", "fetch_error", "rate_limited", "robots", "auth", "render_needed", "not_found", "usage"]
 
 
 def capped(text: Column, most: int) -> Column:
@@ -73,10 +74,12 @@ def assembled(s: DataFrame, pairs: DataFrame, pages: DataFrame, segments: DataFr
     meta = pages.select("tid", "rev", "url", "obs", "title")
     rows = rows.join(meta.withColumnRenamed("rev", "to_rev"), ["tid", "to_rev"]).join(meta.select("tid", F.col("rev").alias("from_rev"), F.col("obs").alias("base_obs")), ["tid", "from_rev"])
     rows = rows.join(pairs.select(*PAIR, "old_hash", "new_hash"), PAIR)
-    nth = F.row_number().over(Window.partitionBy(*PAIR).orderBy("slot_key", "ct", "event_key")) - 1
+    # The pair, the event's key and its place among equal keys name an event in all runs and pairs.
+    nth = F.row_number().over(Window.partitionBy(*PAIR, "event_key").orderBy("slot_key", "ct")) - 1
+    name = F.substring(F.sha2(F.concat_ws("\x1f", *PAIR, "event_key", nth), 256), 1, 26)
     none = lambda: F.lit(None).cast("string")
     event = F.struct(
-        F.lit("1").alias("v"), F.concat(F.lit(event_prefix), F.format_string("%06d", nth)).alias("id"), F.struct("url", "tid", "title").alias("src"), F.col("obs"), F.struct(F.col("base_obs").alias("obs"), F.concat(F.lit("sha:"), "old_hash").alias("snap"), F.col("from_rev").alias("rev")).alias("base"),
+        F.lit("1").alias("v"), F.concat(F.lit(event_prefix), name).alias("id"), F.struct("url", "tid", "title").alias("src"), F.col("obs"), F.struct(F.col("base_obs").alias("obs"), F.concat(F.lit("sha:"), "old_hash").alias("snap"), F.col("from_rev").alias("rev")).alias("base"),
         F.array(F.struct(F.col("seg.anchor").alias("anchor"), "fp", F.col("seg.label_path").alias("label_path"), F.col("seg.role").alias("role"))).alias("seg"), F.col("ct"), F.col("delta"), F.struct("sal", "mat", "cat", "summary").alias("why"), F.struct(F.col("act"), none().alias("tgt")).alias("followup"), F.col("conf"),
         F.struct(F.lit("http").alias("m"), F.concat(F.lit("sha:"), "new_hash").alias("hash"), F.lit(pack.stamp()).alias("pack")).alias("prov"),
     )
@@ -89,18 +92,23 @@ def event_json(event: Column) -> Column:
 
 
 def under_ceiling(rows: DataFrame) -> DataFrame:
-    """Events of more than CEILING bytes lose their delta's bulk, then segment labels."""
+    """Events of more than CEILING bytes keep a bounded delta: a struct its counts, its samples counted as truncated; any other
+    becomes a block of both sides' first CUT_TEXT characters, marked atrunc."""
     big = F.octet_length(event_json(F.col("event"))) > CEILING
     d = F.col("event.delta")
-    slim = d.withField("ops", F.when(d["ops"].isNotNull(), F.slice(d["ops"], 1, 8))).withField("sample", F.lit(None).cast("array<string>")).withField("a", F.left(d["a"], F.lit(CUT_TEXT))).withField("b", F.left(d["b"], F.lit(CUT_TEXT)))
-    rows = rows.withColumn("event", F.when(big, F.col("event").withField("delta", slim)).otherwise(F.col("event")))
-    none = d.withField("ops", F.lit(None).cast("array<array<string>>")).withField("enc", F.lit("struct"))
-    return rows.withColumn("event", F.when(big, F.col("event").withField("delta", none).withField("src.title", F.left("event.src.title", F.lit(200)))).otherwise(F.col("event")))
+    ops = lambda drop: F.array_join(F.transform(F.filter(d["ops"], lambda x: x[0] != drop), lambda x: x[1]), "")
+    sides = {"a": F.when(d["enc"] == "idiff", ops("-")).otherwise(d["a"]), "b": F.when(d["enc"] == "idiff", ops("+")).otherwise(d["b"])}
+    block = {"enc": F.lit("block"), "a": F.left(F.coalesce(sides["a"], F.lit("")), F.lit(CUT_TEXT)), "b": F.nullif(F.left(sides["b"], F.lit(CUT_TEXT)), F.lit("")), "atrunc": F.lit(True)}
+    rest = {"sample": F.array().cast("array<string>"), "truncated": F.coalesce(d["truncated"], F.lit(0)) + F.coalesce(F.size(d["sample"]), F.lit(0))}
+    shape = rows.schema["event"].dataType["delta"].dataType
+    built = lambda given, keep: F.struct(*[given.get(x.name, d[x.name] if keep else F.lit(None)).cast(x.dataType).alias(x.name) for x in shape.fields])
+    slim = F.when(d["enc"] == "struct", built(rest, True)).otherwise(built(block, False))
+    return rows.withColumn("event", F.when(big, F.col("event").withField("delta", slim)).otherwise(F.col("event")))
 
 
 def envelopes(events: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per observation: tid, rev, kind (baseline, no_change, changed), exit_code, events (JSON array, by place in the event order)."""
-    got = events.groupBy("tid", F.col("to_rev").alias("rev")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("event.id").alias("i"), event_json(F.col("event")).alias("j")))), lambda x: x["j"]).alias("events"))
+    got = events.groupBy("tid", F.col("to_rev").alias("rev")).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot_key", "ct", "event_key", event_json(F.col("event")).alias("j")))), lambda x: x["j"]).alias("events"))
     first = F.col("rev") == F.min("rev").over(Window.partitionBy("tid"))
     out = pages.select("tid", "rev", "url", "obs").join(got, ["tid", "rev"], "left").withColumn("first", first)
     kind = F.when(F.col("first"), "baseline").when(F.col("events").isNotNull(), "changed").otherwise("no_change")
@@ -110,5 +118,5 @@ def envelopes(events: DataFrame, pages: DataFrame) -> DataFrame:
 
 def worst_code(codes: DataFrame) -> DataFrame:
     """Of exit codes by run (column run, exit_code), the one that a run over many targets ends with."""
-    order = [EXIT[k] for k in ("no_change", "below_gate", "baseline", "changed", "rate_limited", "fetch_error", "auth")]
+    order = [EXIT[k] for k in SEVERITY]
     return codes.groupBy("run").agg(F.max_by("exit_code", F.array_position(F.array(*[F.lit(x) for x in order]), F.col("exit_code"))).alias("exit_code"))

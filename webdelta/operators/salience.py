@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webdelta.functions.values import half_up2
+from webdelta.functions.values import first_date, half_up2
 from webdelta.operators.diff import PAIR
 from webdelta.operators.packs import ACTION_COST, SIGNALS, Pack
 
@@ -18,7 +18,6 @@ CATEGORIES = ["price_increase", "price_decrease", "plan_added", "plan_removed",
 MATERIALITY = ["none", "low", "medium", "high", "critical"]
 TOP_UNITS = 5
 f = lambda x: F.lit(float(x)).cast("float")
-_FIRST_DATE = r"(\d{4}-\d{2}-\d{2})"
 
 
 def noisy_or(parts: list[Column]) -> Column:
@@ -50,8 +49,7 @@ def side_texts(u: DataFrame) -> DataFrame:
 def signals(u: DataFrame, pack: Pack) -> dict[str, Column]:
     """The seven signals of units with max_depth and block_count of the new document."""
     weights = F.create_map(*[F.lit(x) for k, v in pack.type_weight.items() for x in (k, float(v))])
-    first = lambda c: F.to_date(F.nullif(F.regexp_extract(c, _FIRST_DATE, 1), F.lit("")))
-    days = F.abs(F.datediff(F.coalesce("new_date", first(F.col("present"))), F.coalesce("old_date", first(F.col("prior")))))
+    days = F.abs(F.datediff(F.coalesce("new_date", first_date(F.col("present"))), F.coalesce("old_date", first_date(F.col("prior")))))
     new, old, added = F.lower("present"), F.lower("prior"), F.lower(F.array_join(F.transform(F.filter(F.coalesce(F.col("delta.ops"), F.array().cast("array<array<string>>")), lambda x: x[0] == "+"), lambda x: x[1]), " "))
     neg = reduce(lambda a, b: a | b, [F.contains(added, F.lit(w)) | (F.contains(new, F.lit(w)) & ~F.contains(old, F.lit(w))) for w in NEG_WORDS])
     share = lambda a, b: F.when(F.coalesce(b, F.lit(0)) == 0, 1.0).otherwise(1 - a.cast("double") / b)

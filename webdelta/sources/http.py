@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
-import io
+import http.client
 import urllib.error
 import urllib.request
 import zlib
@@ -25,17 +24,19 @@ def request(url: str, etag: str | None = None, modified: str | None = None, auth
 
 
 def decoded(body: bytes, encoding: str | None, most: int) -> str | None:
-    """The body's text, lossy UTF-8; null if it is larger than `most` bytes when unpacked."""
-    if encoding == "gzip":
-        with gzip.GzipFile(fileobj=io.BytesIO(body)) as f:
-            body = f.read(most + 1)
-    elif encoding == "deflate":
-        body = zlib.decompressobj().decompress(body, most + 1)
+    """The body's text, lossy UTF-8; null if it is larger than `most` bytes, packed or unpacked. A packed body that ends early is an error."""
+    if len(body) > most:
+        return None
+    if encoding in ("gzip", "deflate"):
+        stream = zlib.decompressobj(31 if encoding == "gzip" else 15)
+        body = stream.decompress(body, most + 1)
+        if len(body) <= most and not stream.eof:
+            raise EOFError("the body ends early")
     return None if len(body) > most else body.decode("utf-8", "replace")
 
 
 def fetched(targets: DataFrame, most: int = 5 << 20, timeout: float = 20.0, redirects: int = 3) -> DataFrame:
-    """targets (tid, url; etag, modified, auth if there) to responses. Status 0 is a failure to connect, 599 a body over `most`."""
+    """targets (tid, url; etag, modified, auth if there) to responses. Status 0 is a failure to connect or a body that cannot be unpacked, 599 a body over `most`."""
     names = [c for c in ("etag", "modified", "auth") if c in targets.columns]
 
     def run(batches):
@@ -57,8 +58,8 @@ def fetched(targets: DataFrame, most: int = 5 << 20, timeout: float = 20.0, redi
                         status = status if html is not None else 599
                 except urllib.error.HTTPError as e:
                     status, headers = e.code, dict(e.headers.items())
-                except (OSError, ValueError, zlib.error):
-                    pass
+                except (OSError, ValueError, EOFError, zlib.error, http.client.HTTPException):
+                    status = 0
                 out.append((r["tid"], r["url"], final, status, headers, html, int((time.monotonic() - began) * 1000)))
             yield pd.DataFrame(out, columns=["tid", "url", "final_url", "status", "headers", "html", "ms"])
 
