@@ -50,7 +50,7 @@ GROUP, PAIRS = 256, 5
 #: Components of a signature, and the probability with which a pair at the threshold may meet in no band.
 COMPONENTS, MISS = 100, 1e-5
 #: Jaccard from which a node's differences from its pivot are kept.
-NEAR = Fraction(1, 4)
+NEAR = Fraction(1, 16)
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
