@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from webdelta.llm.common import slices
+from webdelta.llm.common import lean, slices
 
 #: Words and pre-tokens in a generation of a worker's tables (about 200 bytes each, two generations), and the longest that is kept.
 KEPT_WORDS, KEPT_PARTS, KEPT_CHARS = 150_000, 150_000, 64
@@ -234,6 +234,7 @@ def loaded(path: str) -> tuple[Vocabulary, Words, Decoder]:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
 
+    @lean
     def run(batches):
         _, words, _ = loaded(path)
         for b in slices(batches):
@@ -247,6 +248,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """One row per row of encode(): id, text."""
 
+    @lean
     def run(batches):
         decoder = loaded(path)[2]
         for b in slices(batches, ("ids",)):
@@ -260,6 +262,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode() and decode() in one pass: id, n_tokens, and SHA-256 of the ids and of the decoded text, piece by piece."""
 
+    @lean
     def run(batches):
         _, words, decoder = loaded(path)
         for b in slices(batches):

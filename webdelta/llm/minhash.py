@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webdelta.llm.common import discard, joined_with_hot, slices, stored, whole_row
+from webdelta.llm.common import discard, joined_with_hot, lean, slices, stored, whole_row
 from webdelta.llm.words import mix, shingle_sets
 
 #: Partners of a pivot that are verified in one group of rows; pairs for each set that the last rests may hold.
@@ -109,6 +109,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def sketched(docs: DataFrame, k: int, rows: int, bands: int, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, n_shingles, set_key (16 bytes, null for an empty set), bands (a hash for each)."""
 
+    @lean
     def run(batches):
         place = np.random.default_rng(7).integers(0, 1 << 63, (bands, rows), np.uint64) * np.uint64(2) + np.uint64(1)
         for b in slices(batches, most=2 << 20):
@@ -136,6 +137,7 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction) ->
     both = dealt.join(texts.select(F.col("set_key").alias("node"), "text"), "node").join(pivots, ["pivot", "deal"]).select("pivot", "node", "p_text", "text")
     num, den, reach = threshold.numerator, threshold.denominator, NEAR + 1 - threshold
 
+    @lean
     def run(batches):
         for b in slices(batches, ("p_text", "text"), 2 << 20):
             pivots, nodes = b.column("pivot"), b.column("node")

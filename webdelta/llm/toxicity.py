@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webdelta.llm.common import whole_row
+from webdelta.llm.common import lean, whole_row
 from webdelta.llm.words import mix
 
 BUCKETS, DIMS, WINDOW = 1 << 16, 8, 8
@@ -263,6 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = texts.withColumn("k", F.xxhash64("text")).join(F.broadcast(fits), (F.col("id") == F.col("k1")) & (F.col("label") == F.col("k2")) & F.col("k").eqNullSafe(F.col("k3")))
     sample = texts.select(F.col("id").cast("string").alias("id"), "label", "text", "k").dropDuplicates(["id", "label", "k"])
 
+    @lean
     def learn(batches):
         held = pd.concat([pd.DataFrame({"id": [], "label": [], "text": [], "k": []}), *batches]).sort_values(["id", "label", "k"])
         m = fit(held["text"].tolist(), held["label"].to_numpy(np.float64), share)
@@ -278,6 +279,7 @@ def score_udf(model: Model, spark):
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @lean
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         parts = Parts(sent.value)
         for texts in batches:
