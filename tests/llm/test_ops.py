@@ -313,6 +313,24 @@ def test_streamed_words_equal_the_library():
         assert len(v.merged(list("x" * 10))) >= 1
 
 
+def test_blocks_of_a_long_text_equal_the_library(spark, monkeypatch):
+    t = tokenizers.Tokenizer.from_file(VOCAB)
+    rng = random.Random(5)
+    make = lambda: "".join(rng.choice(["é", "Σ", "日本", "a", "the", " ", "  ", "\n", "\t", "\r\n", "\x0b", "'s", "e\u0301", "\U0001f600", "<|endoftext|>", "\x1c", "x" * 40]) for _ in range(3000))
+    texts = [make() for _ in range(4)] + ["w" * 300_000, ("long text " * 30_000) + "end", " " * 200_000, " " * 65_536 + "x"]
+    got = by_id(bpe.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), VOCAB))
+    _, words, decoder = bpe.loaded(VOCAB)
+    for i, x in enumerate(texts):
+        ids = t.encode(x, add_special_tokens=False).ids
+        out, data = t.decode(ids, skip_special_tokens=False), np.array(ids, "<u4").tobytes()
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(out.encode()).hexdigest())
+        if len(x) < 20_000:
+            monkeypatch.setattr(bpe, "BLOCK", 7)
+            blocks = list(words.blocks(x))
+            assert len(blocks) > 9 and b"".join(blocks) == data and "".join(decoder.text(blocks, 3)) == out
+            monkeypatch.undo()
+
+
 def test_sharding(docs, texts, empty):
     got = sharding.sharded(docs, 8).collect()
     assert len(got) == docs.count()

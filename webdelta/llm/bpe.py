@@ -9,7 +9,8 @@ token boundary is the rest of the tokens. Memory is a constant of the merge list
 
 Decoding feeds each token's bytes to a byte-to-text state machine that holds an unfinished character between feeds.
 
-Words between white space are encoded once and kept in a table of bounded size; long words are always streamed.
+Words between white space are encoded once and kept in a table of bounded size; long words are always streamed. A text
+is read in blocks of words, and each block is encoded, hashed, decoded and dropped before the next.
 
 Defined results: null text is encoded as empty: no tokens, empty decoded text. Repeated rows each give their row; null ids
 pass through. Columns other than the id and the text are not read.
@@ -22,6 +23,7 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -34,6 +36,8 @@ from webdelta.llm.common import lean, slices
 
 #: Words and pre-tokens in a generation of a worker's tables (about 200 bytes each, two generations), and the longest that is kept.
 KEPT_WORDS, KEPT_PARTS, KEPT_CHARS = 150_000, 150_000, 64
+#: Characters of a text that are cut into words at a time, and what cuts words.
+BLOCK, SPACE = 1 << 16, re.compile(r"[\t-\r ]")
 
 
 def byte_symbols() -> list[str]:
@@ -193,14 +197,21 @@ class Words(Kept):
     def _word(self, word: str) -> bytes:
         return b"".join([p.to_bytes(self.width, "little") if isinstance(p, int) else self.parts[p] for p in self.pretokens(word)])
 
-    def ids(self, text: str | None) -> bytes:
-        """Ids of a whole text. Words are cut at ASCII white space, across which neither normal form nor pre-tokens reach."""
-        if not text:
-            return b""
-        for c in "\t\n\x0b\x0c\r":
-            if c in text:
-                text = text.replace(c, " ")
-        return b"".join(map(self.__getitem__, filter(None, text.split(" "))))
+    def blocks(self, text: str | None) -> Iterator[bytes]:
+        """Ids of a whole text, block by block. Words are cut at ASCII white space, across which neither normal form nor
+        pre-tokens reach; a block has about BLOCK characters and ends with a word, so only its words and ids are held."""
+        at, end = 0, len(text or "")
+        while at < end:
+            stop = end
+            if end - at > BLOCK:
+                cut = SPACE.search(text, at + BLOCK)
+                stop = cut.start() if cut else end
+            part = text[at:stop]
+            for c in "\t\n\x0b\x0c\r":
+                if c in part:
+                    part = part.replace(c, " ")
+            yield b"".join(map(self.__getitem__, filter(None, part.split(" "))))
+            at = stop
 
 
 class Decoder:
@@ -212,16 +223,19 @@ class Decoder:
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         self.flat = np.frombuffer(b"".join(pieces), np.uint8)
 
-    def text(self, ids: np.ndarray, step: int = 1 << 18) -> Iterator[str]:
-        """The text in pieces; the state machine keeps the bytes of a character that a piece cuts."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for a in range(0, len(ids), step):
-            part = ids[a : a + step]
-            n = self.length[part]
-            ends = np.cumsum(n)
-            at = np.repeat(self.start[part] - (ends - n), n) + np.arange(int(ends[-1]))
-            data = self.flat[at].tobytes()
-            yield machine.decode(data if a else data[1:])
+    def text(self, blocks: Iterable[bytes], step: int = 1 << 18) -> Iterator[str]:
+        """The text of blocks of little-endian ids, in pieces; the state machine keeps the bytes of a character that a piece cuts."""
+        machine, skip = codecs.getincrementaldecoder("utf-8")("replace"), 1
+        for block in blocks:
+            ids = np.frombuffer(block, "<u4")
+            for a in range(0, len(ids), step):
+                part = ids[a : a + step]
+                n = self.length[part]
+                ends = np.cumsum(n)
+                at = np.repeat(self.start[part] - (ends - n), n) + np.arange(int(ends[-1]))
+                # The first token of a text has no space before it.
+                yield machine.decode(self.flat[at].tobytes()[skip:])
+                skip = 0
         yield machine.decode(b"", True)
 
 
@@ -238,7 +252,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         _, words, _ = loaded(path)
         for b in slices(batches):
-            ids = [words.ids(t) for t in b.column("text").to_pylist()]
+            ids = [b"".join(words.blocks(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -252,7 +266,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     def run(batches):
         decoder = loaded(path)[2]
         for b in slices(batches, ("ids",)):
-            texts = ["".join(decoder.text(np.frombuffer(x or b"", "<u4"))) for x in b.column("ids").to_pylist()]
+            texts = ["".join(decoder.text([x or b""])) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
     rows = encoded.select(encoded[id_col].alias("id"), "ids")
@@ -268,12 +282,19 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for b in slices(batches):
             n, of_ids, of_text = [], [], []
             for t in b.column("text").to_pylist():
-                ids = words.ids(t)
-                n.append(len(ids) // 4)
-                of_ids.append(hashlib.sha256(ids).hexdigest())
-                sha = hashlib.sha256()
-                for piece in decoder.text(np.frombuffer(ids, "<u4")):
+                count, sha_ids, sha = 0, hashlib.sha256(), hashlib.sha256()
+
+                def seen():
+                    nonlocal count
+                    for block in words.blocks(t):
+                        count += len(block) // 4
+                        sha_ids.update(block)
+                        yield block
+
+                for piece in decoder.text(seen()):
                     sha.update(piece.encode("utf-8"))
+                n.append(count)
+                of_ids.append(sha_ids.hexdigest())
                 of_text.append(sha.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
