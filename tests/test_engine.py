@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 
 from webdelta.plans import engine
-from webdelta.operators.events import event_json
+from webdelta.operators.diff import exact_residual
+from webdelta.operators.events import event_json, segment_index
 from webdelta.operators.packs import load
 
 SCHEMA = "tid string, rev long, url string, obs string, html string, strategy string, root_selector string"
@@ -88,3 +90,25 @@ def test_blocks(spark):
 def test_packs():
     p = load("pricing")
     assert p.type_weight["table_row"] == 0.9 and p.cats["content_edit"] == "notify" and p.rules[0]["sticky"] and load("nothing").id == "default"
+
+
+def test_segment_paths_equal_the_fold(spark):
+    """Skipped levels included: a path holds at most level - 1 headings above a heading of a level."""
+    rng = random.Random(8)
+    rows = [(f"t{d}", 1, f"s{i}", i, "heading" if rng.random() < 0.6 else "paragraph", rng.randint(1, 6), f"x{i}") for d in range(20) for i in range(25)]
+    rows = [(*r[:5], r[5] if r[4] == "heading" else None, r[6]) for r in rows]
+    got = {(r["tid"], r["slot_key"]): r["seg"]["label_path"] for r in segment_index(spark.createDataFrame(rows, "tid string, rev long, slot_key string, seq long, ty string, level int, text string")).collect()}
+    for d in range(20):
+        path = []
+        for _, _, slot, _, ty, level, text in [r for r in rows if r[0] == f"t{d}"]:
+            assert got[(f"t{d}", slot)] == " › ".join([*path, text if ty == "heading" else "prose"])
+            if ty == "heading":
+                path = [*path[: level - 1], text]
+
+
+def test_residuals_of_mixed_types(spark):
+    block = "struct<seq:long,ty:string,norm_hash:long>"
+    side = lambda name, *xs: spark.createDataFrame([("t", 1, 2, x) for x in xs], f"tid string, from_rev long, to_rev long, {name} {block}")
+    old = side("o", (0, "p", 7), (1, "h", 7), (2, "p", 7), (3, "p", 8), (4, "p", 8), (5, "p", 9))
+    new = side("n", (0, "p", 7), (1, "p", 7), (2, "h", 7), (9, "p", 8), (10, "h", 10))
+    assert sorted((r["o"]["seq"], r["n"]["seq"]) for r in exact_residual(old, new).collect()) == [(0, 0), (2, 1), (3, 9)]

@@ -1,9 +1,11 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from webdelta.functions import text, values
-from webdelta.functions.tokendiff import edit_script, increasing, inline_diff, token_distance, tokenize
+from webdelta.functions.tokendiff import edit_script, first_unused, increasing, inline_diff, token_distance, tokenize
 from webdelta.sources import config
 from webdelta.sources.html import rows_of, selector, tree
 from webdelta.sources.observations import parsed_robots
@@ -155,3 +157,35 @@ def test_robots_and_config():
     except ValueError:
         return
     raise AssertionError
+
+
+def test_first_unused_pairs():
+    assert first_unused(["a", "a"], ["a", "a"]) == [(0, 0), (1, 1)]
+    # The second old entry finds no equal first unused one; the third takes it.
+    assert first_unused(["p", "h", "p"], ["p", "p", "h"]) == [(0, 0), (2, 1)]
+    assert first_unused(["h", "p"], ["p"]) == [(1, 0)] and first_unused([], ["p"]) == []
+
+
+def test_token_diffs_of_long_rewrites_stay_small():
+    a, b = [f"x{i}" for i in range(3000)], [f"y{i}" for i in range(2900)]
+    script = edit_script(a, [*b, "x2999"])
+    assert [t for op, t in script if op != "+"] == a and [t for op, t in script if op != "-"] == [*b, "x2999"] and len(script) == 5900
+    assert token_distance(" ".join(a), " ".join(b)) == 1.0
+    # Against the plain table of distances.
+    rng = random.Random(3)
+    for _ in range(300):
+        x, y = ([rng.choice("abc") for _ in range(rng.randint(1, 14))] for _ in range(2))
+        table = [[i + j if not i * j else 0 for j in range(len(y) + 1)] for i in range(len(x) + 1)]
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (x[i - 1] != y[j - 1]))
+        assert token_distance(" ".join(x), " ".join(y)) == table[-1][-1] / max(len(x), len(y))
+
+
+def test_links_resolve_against_a_kept_base():
+    html = "<html><body><main><base href='https://acme.test/docs/'><p>" + "words, and more words, " * 20 + "</p><a href='../pricing?b=2'>x</a><a href='mailto:a@b.c'>m</a><img src='//cdn.test/i.png'></main></body></html>"
+    _, nodes = rows_of(html, "full")
+    urls = [dict(n["attrs"]).get("href") or dict(n["attrs"]).get("src") for n in nodes if n["tag"] in ("a", "img")]
+    assert urls == ["https://acme.test/pricing?b=2", "mailto:a@b.c", "https://cdn.test/i.png"]
+    # A base that is itself relative resolves nothing.
+    assert dict([n for n in rows_of("<body><base href='/d/'><a href='p'>x</a></body>", "full")[1] if n["tag"] == "a"][0]["attrs"]) == {"href": "p"}

@@ -31,6 +31,27 @@ def test_stream_gives_each_change_once(spark, tmp_path):
     assert [x[1:] for x in out] == [("t", "price_increase")]
 
 
+def test_a_batch_reads_and_writes_its_own_buckets_only(spark, tmp_path):
+    page = lambda p: f"<html><body><main><h1>P</h1><p>${p}/mo</p></main></body></html>"
+    rows = lambda *xs: spark.createDataFrame([(t, "http://e.org", o, page(p)) for t, o, p in xs], "tid string, url string, obs string, html string")
+    out = []
+    replay = Replay(spark, f"file://{tmp_path}/state", lambda e, n: out.extend((n, r["tid"], r["cat"]) for r in e.collect()), buckets=4, archetype="pricing")
+    bucket = {r["tid"]: r["b"] for r in spark.createDataFrame([(f"t{i}",) for i in range(8)], "tid string").withColumn("b", replay._bucket()).collect()}
+    one = "t0"
+    other = next(t for t in bucket if bucket[t] != bucket[one])
+    replay.batch(rows((one, "1", 5), (other, "1", 5)), 0)
+    # An untouched target's bucket may be unreadable.
+    for part in (tmp_path / "state/versions/batch=0" / f"bucket={bucket[other]}").glob("part-*"):
+        part.write_bytes(b"no table")
+    for n, price in enumerate((7, 9, 11), 1):
+        replay.batch(rows((one, str(n + 1), price)), n)
+        replay.batch(rows((one, str(n + 1), price)), n)
+    held = {k: v for k, v in replay._folders("versions")[0].items()}
+    assert held == {bucket[other]: [0], bucket[one]: [2, 3]}
+    assert sorted(set(out)) == [(n, one, "price_increase") for n in (1, 2, 3)]
+    assert spark.read.parquet(f"file://{tmp_path}/state/versions/batch=3/bucket={bucket[one]}").count() == 4
+
+
 def test_windows(spark):
     e = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, m), "t", "high") for m in (1, 2, 59)], "ts timestamp, tid string, mat string").withColumn("ts", F.col("ts"))
     assert event_windows(e).first()["count"] == 3

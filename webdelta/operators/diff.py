@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webdelta.functions.text import collapse, tokens, word_tokens
-from webdelta.functions.tokendiff import greedy, increasing, inline_diff_udf, token_distance_udf
+from webdelta.functions.tokendiff import first_unused, greedy, increasing, inline_diff_udf, token_distance_udf
 from webdelta.plans.tables import settled
 
 PAIR = ["tid", "from_rev", "to_rev"]
@@ -67,9 +67,30 @@ def moved_anchors(anchors: DataFrame) -> DataFrame:
 
 
 def exact_residual(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Residual blocks of equal text, in order of place; a pair of different types is not one."""
-    rank = lambda df, s: df.withColumn("h", F.col(f"{s}.norm_hash")).withColumn("k", F.row_number().over(Window.partitionBy(*PAIR, "h").orderBy(f"{s}.seq")))
-    return rank(old, "o").join(rank(new, "n"), [*PAIR, "h", "k"]).filter("o.ty = n.ty").select(*PAIR, "o", "n")
+    """Residual blocks of equal text, in order of place. An old block meets the first new one still unused; if their types
+    differ, the new one stays free for the next.
+
+    Where all blocks of a text have one type, that pairs equal ranks. Other texts are folded, by places and types alone.
+    """
+    key = [*PAIR, "h"]
+    rank = lambda df, s: df.withColumns({"h": F.col(f"{s}.norm_hash"), "t": F.col(f"{s}.ty")}).withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(f"{s}.seq")))
+    o, n = rank(old, "o"), rank(new, "n")
+    places = o.select(*key, "t", F.lit(0).alias("side"), "k").unionByName(n.select(*key, "t", F.lit(1).alias("side"), "k"))
+    shape = places.groupBy(*key).agg((F.min("t") != F.max("t")).alias("mixed"), (F.min("side") != F.max("side")).alias("both"))
+    mixed = places.join(shape.filter("mixed AND both").select(*key), key, "left_semi")
+    kinds = ", ".join(f"{c} {places.schema[c].dataType.simpleString()}" for c in key)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("k")
+        olds, news = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        got = first_unused(olds["t"].tolist(), news["t"].tolist())
+        out = olds.iloc[[i for i, _ in got]][[*key, "k"]]
+        return out.assign(n_k=news["k"].to_numpy()[[j for _, j in got]])
+
+    folded = mixed.groupBy(*key).applyInPandas(fold, f"{kinds}, k int, n_k int")
+    same = o.join(shape.filter("NOT mixed AND both").select(*key), key, "left_semi").join(n.select(*key, "k", "n"), [*key, "k"]).select(*PAIR, "o", "n")
+    rest = o.join(folded, [*key, "k"]).drop("k").join(n.select(*key, F.col("k").alias("n_k"), "n"), [*key, "n_k"]).select(*PAIR, "o", "n")
+    return same.unionByName(rest)
 
 
 def window_candidates(old: DataFrame, new: DataFrame) -> DataFrame:

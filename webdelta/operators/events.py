@@ -26,11 +26,19 @@ def capped(text: Column, most: int) -> Column:
 
 def segment_index(blocks: DataFrame) -> DataFrame:
     """tid, rev, slot_key, anchor, label_path, role. The path holds at most level - 1 headings above a heading of a level."""
-    by_seq = Window.partitionBy(*DOC).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    head = F.collect_list(F.when(F.col("ty") == "heading", F.struct(F.col("level").alias("l"), F.col("text").alias("t")))).over(by_seq)
-    path = F.aggregate(head, F.array().cast("array<string>"), lambda p, h: F.concat(F.slice(p, F.lit(1), F.least(F.size(p), h["l"] - 1)), F.array(h["t"])))
+    by_seq = Window.partitionBy(*DOC).orderBy("seq")
+    so_far, before = (by_seq.rowsBetween(Window.unboundedPreceding, last) for last in (Window.currentRow, -1))
+    # A heading of level l comes to place min(places before + 1, l): t + min(0, min(l - t)) over headings, t their number.
+    heading = F.col("ty") == "heading"
+    b = blocks.withColumn("nth", F.count_if(heading).over(so_far))
+    b = b.withColumn("place", F.when(heading, F.col("nth") + F.least(F.lit(0), F.min(F.when(heading, F.col("level") - F.col("nth"))).over(so_far))))
+    # Places grow by one at most, so an entry stands if no heading after it came to a place above.
+    last = [F.last(F.when(F.col("place") == i, F.struct(F.col("nth").alias("o"), F.col("text").alias("t"))), True).over(before) for i in range(1, 7)]
+    b = b.withColumns({f"h{i}": x for i, x in enumerate(last)})
+    standing = lambda i: F.col(f"h{i}.o") > F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(f"h{j}.o", F.lit(-1)) for j in range(i)])
+    path = F.array_compact(F.array(*[F.when(standing(i), F.col(f"h{i}.t")) for i in range(6)]))
     role = F.element_at(F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv]), F.col("ty"))
-    b = blocks.withColumns({"path": path, "role": role})
+    b = b.withColumns({"path": path, "role": role})
     own = F.when(F.col("ty") == "heading", F.col("text")).otherwise(F.col("role"))
     anchor = F.when(F.size("path") > 0, F.element_at("path", -1)).otherwise(F.col("text"))
     b = b.select(*DOC, "slot_key", "seq", F.left(anchor, F.lit(ANCHOR_CAP)).alias("anchor"), F.left(F.array_join(F.concat("path", F.array(own)), SEPARATOR), F.lit(LABEL_CAP)).alias("label_path"), "role")

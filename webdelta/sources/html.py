@@ -10,14 +10,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webdelta.functions.text import BOILERPLATE
+from webdelta.functions.text import BOILERPLATE, URL_ATTRS
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 STRIPPED = {"script", "style", "noscript", "template", "svg", "iframe"}
 BONUS, PENALTY = {"article", "main", "section"}, {"nav", "aside", "footer", "header", "form"}
 #: A start tag closes an open element of these kinds, up to the fence.
@@ -211,8 +213,8 @@ def selected(root: Node, strategy: str, root_selector: str | None) -> list[Node]
     return [readability(body)] if strategy == "readability" else [body]
 
 
-def rows_of(html: str, strategy: str = "readability", root_selector: str | None = None, base: str | None = None) -> tuple[str | None, list[dict]]:
-    """Title, and the kept nodes in document order."""
+def rows_of(html: str, strategy: str = "readability", root_selector: str | None = None) -> tuple[str | None, list[dict]]:
+    """Title, and the kept nodes in document order. A kept <base href> that is absolute resolves the URLs of all kept nodes."""
     root = tree(html)
     title = next((" ".join("".join(c.text or "" for c in n.children).split()) for n in root.walk() if n.tag == "title"), "") or None
     out: list[dict] = []
@@ -247,9 +249,23 @@ def rows_of(html: str, strategy: str = "readability", root_selector: str | None
 
     for n in selected(root, strategy, root_selector):
         add(n, 0, -1, False, [])
+    if base := next((h for n in out if n["tag"] == "base" and (h := (dict(n["attrs"]).get("href") or "").strip())), None):
+        for n in out if ABSOLUTE.match(base) else ():
+            n["attrs"] = [(k, resolved(base, v) if k in URL_ATTRS else v) for k, v in n["attrs"]]
     return title, out
 
 
+def resolved(base: str, url: str | None) -> str | None:
+    """A relative URL against the page's <base>; absolute and empty ones, and what is no URL, as they are."""
+    bare = (url or "").strip()
+    if not bare or ABSOLUTE.match(bare):
+        return url
+    try:
+        return urljoin(base, bare)
+    except ValueError:
+        return url
+
+
 NODES = "array<struct<pre:int,end:int,parent:int,depth:int,tag:string,attrs:map<string,string>,text:string,in_code:boolean,rows:array<struct<row:int,cell:int>>>>"
 
 

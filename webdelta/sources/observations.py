@@ -52,7 +52,9 @@ def from_pages(pages: DataFrame) -> DataFrame:
 def from_files(spark: SparkSession, paths: list[str], url: str = "file:") -> DataFrame:
     """HTML files as successive observations of one target."""
     found = spark.read.text(paths, wholetext=True).select(F.col("value").alias("html"), F.input_file_name().alias("path"))
-    return found.select(F.lit("files").alias("tid"), F.row_number().over(Window.orderBy("path")).cast("long").alias("rev"), F.lit(url).alias("url"), F.lit("1970-01-01T00:00:00Z").alias("obs"), "html")
+    # The paths alone are numbered; the texts stay where they are read.
+    found = found.join(found.select("path").withColumn("rev", F.row_number().over(Window.orderBy("path")).cast("long")), "path")
+    return found.select(F.lit("files").alias("tid"), "rev", F.lit(url).alias("url"), F.lit("1970-01-01T00:00:00Z").alias("obs"), "html")
 
 
 def from_text(spark: SparkSession, html: str, url: str, tid: str | None = None) -> DataFrame:
@@ -103,14 +105,14 @@ def robots_rules(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str, url: str = "url") -> DataFrame:
     """urls with `allowed`: the group whose name is in the agent beats `*`; the longest match wins, allow wins ties; no rule allows.
 
-    Rules are joined by host, and each URL keeps one best match, so a host's many URLs never meet.
+    Rules are joined by host, and each host and path keeps one best match, so a host's many URLs never meet.
     """
-    u = urls.withColumns({"_id": F.monotonically_increasing_id(), "_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
+    u = urls.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
     named = F.contains(F.lit(agent.lower()), F.col("agent")) & (F.col("agent") != "*")
     mine = rules.withColumn("named", named).filter(named | (F.col("agent") == "*"))
     best = mine.groupBy("host").agg(F.bool_or("named").alias("has"))
     mine = mine.join(best, "host").filter(F.col("named") == F.col("has")).withColumnRenamed("host", "_host")
     hit = F.col("regex").isNotNull() & F.expr("_path rlike regex")
-    found = u.join(mine.select("_host", "kind", "pattern", "regex"), "_host", "left").withColumn("hit", F.coalesce(hit, F.lit(False)))
-    won = found.groupBy("_id").agg(F.max_by("kind", F.when(F.col("hit"), F.struct(F.length("pattern"), (F.col("kind") == "allow").cast("int")))).alias("kind"))
-    return u.join(won, "_id").select(*urls.columns, F.coalesce(F.col("kind") == "allow", F.lit(True)).alias("allowed"))
+    found = u.select("_host", "_path").distinct().join(mine.select("_host", "kind", "pattern", "regex"), "_host").withColumn("hit", F.coalesce(hit, F.lit(False)))
+    won = found.groupBy("_host", "_path").agg(F.max_by("kind", F.when(F.col("hit"), F.struct(F.length("pattern"), (F.col("kind") == "allow").cast("int")))).alias("kind"))
+    return u.join(won, ["_host", "_path"], "left").select(*urls.columns, F.coalesce(F.col("kind") == "allow", F.lit(True)).alias("allowed"))
