@@ -22,8 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or in local runs, where it is unset, a temporary one."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or where it is unset, on a local master only, a temporary one."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         found = f"file://{tempfile.mkdtemp(prefix='webdelta-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(_remove, spark, found)
