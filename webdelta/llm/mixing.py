@@ -109,7 +109,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
     """One row per input row: id, source, size, source_size, target, copies, taken (words), text_hash."""
     text = text_of(docs, text_col)
     rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
-    rows = in_order(rows, [F.col(c) for c in ("id", "source", "size", "text_hash")], "sizes").withColumnRenamed("rank", "uid")
+    # Ranging by ids reads its input twice, so the texts are counted and hashed before it.
+    rows = in_order(stored(rows, "words"), [F.col(c) for c in ("id", "source", "size", "text_hash")], "sizes").withColumnRenamed("rank", "uid")
     # The key tells a null source from an empty one and can be joined on.
     rows = stored(rows.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "numbered")
     aims = targets(rows, weights, share, cap).withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
