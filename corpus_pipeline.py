@@ -1,6 +1,11 @@
 """A corpus run end to end: toxicity, exact dedup, near dedup, mixing, BPE. Part of the webdelta.llm subpackage.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs. All but the last return the columns of documents.
+
+Defined results: a null text counts as empty in every stage. It is scored like a text without words, all empty texts are
+copies of one another, texts without words are near copies of nothing, their draws in mixing are by the rate of their
+source, and they encode to no tokens. Of rows that repeat id and text one stays. Extra columns of documents are carried to
+the mix, whatever their names; the last stage returns its own columns. Empty tables give empty results.
 """
 
 from __future__ import annotations
