@@ -28,3 +28,13 @@ def test_run(spark, tmp_path):
     assert kept[3] < kept[2]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and {r["doc_id"] for r in out.collect()} == kept[3]
+
+
+def test_empty_tables_give_empty_results(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, row string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
