@@ -35,10 +35,16 @@ from webdelta.llm.words import _BYTE, _SPACE, _power, mix
 MAGIC = b"RVB1"
 #: Ids in a block before it is closed.
 BLOCK_IDS = 1 << 18
-#: Words in a worker's table (about 30 bytes each) before it is begun anew, and words in a call to the library.
-TABLE, CALL = 1_000_000, 4096
+#: Words in a worker's table (about 30 bytes each) before it is begun anew, words in a call to the library and in a text of a call.
+TABLE, CALL, JOINED = 1_000_000, 4096, 64
 #: Bytes of a word that is hashed, and of text that is hashed at once.
 HASHED, BLOCK = 64, 1 << 20
+#: What each byte of a plain word is: a letter (ASCII, or of U+00C0 to U+00FF), a digit, another printable ASCII character; 0 where a word
+#: with it is not plain: an apostrophe may lead a contraction, "<" a special token, and U+00D7 and U+00F7 are no letters.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F], _KIND[0x30:0x3A] = 3, 2
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = 1
+_KIND[[0x27, 0x3C, 0x97, 0xB7]] = 0
 #: For each control byte the four lengths.
 LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -80,13 +86,20 @@ def id_code(path: str, end_id: int) -> str:
 class Library:
     """The tokenizers library over whole texts: each word between ASCII white space, across which this kind of tokenizer never
     joins, is encoded once. Words are found and hashed in numpy over a whole slice, and their ids gathered from a table that is
-    sorted by 64-bit hash and of bounded size; only a slice's new words, and words over HASHED bytes, go to the library."""
+    sorted by 64-bit hash and of bounded size; only a slice's new words, and words over HASHED bytes, go to the library.
+
+    The library costs less by text than by word, so new words go to it JOINED to a text. How many pre-tokens a plain word has is
+    known from its bytes, and a pre-token's last id has the end-of-word suffix, so its ids are found by counting these. Other
+    words go as lists, where the library names the word of each id but those of special tokens."""
 
     def __init__(self, path: str, code: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        Vocabulary(path)  # raises if it is another kind
+        known = Vocabulary(path)  # raises if it is another kind
+        self.suffix = known.suffix
+        self.last = np.zeros(max(end_id, *known.pieces) + 1, bool)
+        self.last[[i for t, i in known.ids.items() if t.endswith(known.suffix)]] = True
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -102,7 +115,7 @@ class Library:
     def _index(self) -> None:
         """Where each value of the leading bits starts in the table, so that a search looks at a row or two."""
         self.shift = np.uint64(64 - max(8, len(self.hashes).bit_length()))
-        self.first = np.searchsorted(self.hashes >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount((self.hashes >> self.shift).astype(np.int64), minlength=1 << 64 - int(self.shift)))])
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The table's row of each hash, or -1."""
@@ -119,14 +132,53 @@ class Library:
             some = np.flatnonzero(~hit)
             row, stop, left = row[some] + 1, stop[some], left[some]
 
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after the other, and how many each has."""
-        ids, sizes = array.array("I"), []
-        for a in range(0, len(words), CALL):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + CALL], add_special_tokens=False)]
-            sizes += map(len, found)
-            ids.extend(itertools.chain.from_iterable(found))
-        return np.array(ids, self.code), np.array(sizes, np.int64)
+    def _called(self, items: list, **how) -> list:
+        return self.tokenizer.encode_batch_fast(items, add_special_tokens=False, **how)
+
+    def _flat(self, found: list) -> np.ndarray:
+        return np.array(array.array("I", itertools.chain.from_iterable(e.ids for e in found)), self.code)
+
+    def _listed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words of a call, one after the other, and how many each has."""
+        lists, ids, sizes = [words[a : a + JOINED] for a in range(0, len(words), JOINED)], [], []
+        for e, some in zip(self._called(lists, is_pretokenized=True), lists):
+            found, of = [e], e.word_ids
+            if None in of:
+                # A special token's id names no word.
+                found = self._called(some)
+                sizes.append(np.array([len(x) for x in found], np.int64))
+            else:
+                sizes.append(np.bincount(np.array(of, np.int64), minlength=len(some)))
+            ids.append(self._flat(found))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _joined(self, words: list[bytes], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of plain words, of so many pre-tokens each."""
+        ids = self._flat(self._called([b" ".join(words[a : a + JOINED]).decode() for a in range(0, len(words), JOINED)]))
+        done, stop = np.flatnonzero(self.last[ids]) + 1, np.cumsum(parts)
+        if len(done) != stop[-1] or done[-1] != len(ids):
+            return self._listed([w.decode() for w in words])
+        return ids, np.diff(done[stop - 1], prepend=0)
+
+    def _encoded(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words, where each word's begin, and how many it has."""
+        flat, at, n, held = [np.zeros(0, self.code)], np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), 0
+        for a in range(0, len(start), CALL):
+            words = [raw[x:y].tobytes() for x, y in zip(start[a : a + CALL].tolist(), end[a : a + CALL].tolist())]
+            kind = _KIND[np.frombuffer(b" ".join(words) + b" ", np.uint8)]
+            first = np.concatenate([[0], np.cumsum(end[a : a + CALL] - start[a : a + CALL] + 1)[:-1]])
+            opens = (kind > 0) & ((kind == 2) | np.diff(kind, prepend=0).astype(bool))
+            parts = np.add.reduceat(opens, first, dtype=np.int64)
+            # The space behind it has no kind either.
+            plain = (np.add.reduceat(kind == 0, first, dtype=np.int64) == 1) & bool(self.suffix)
+            for some, joined in ((np.flatnonzero(plain), True), (np.flatnonzero(~plain), False)):
+                if len(some):
+                    mine = [words[x] for x in some.tolist()]
+                    ids, m = self._joined(mine, parts[some]) if joined else self._listed([w.decode() for w in mine])
+                    flat.append(ids)
+                    at[a + some], n[a + some] = held + np.cumsum(m) - m, m
+                    held += len(ids)
+        return np.concatenate(flat), at, n
 
     def ids(self, texts: pa.Array) -> pa.Array:
         """Each text's ids and the end id."""
@@ -157,22 +209,25 @@ class Library:
         row[on] = self._find(h[on])
         miss = on[row[on] < 0]
         if len(miss):
-            fresh, one = np.unique(h[miss], return_index=True)
+            fresh, one, of = np.unique(h[miss], return_index=True, return_inverse=True)
             one = miss[one]
-            got, n = self._encoded([raw[a:b].tobytes().decode() for a, b in zip(start[one].tolist(), end[one].tolist())])
+            got, place, n = self._encoded(raw, start[one], end[one])
             hashes = np.concatenate([self.hashes, fresh])
             order = np.argsort(hashes, kind="stable")
+            moved = np.empty(len(order), np.int64)
+            moved[order] = np.arange(len(order))
+            row[miss] = len(self.hashes) + of
+            row[on] = moved[row[on]]
             self.hashes = hashes[order]
-            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])[order]
+            self.at = np.concatenate([self.at, len(self.flat) + place])[order]
             self.size = np.concatenate([self.size, n])[order]
             self.flat = np.concatenate([self.flat, got])
             self._index()
-            row[on] = self._find(h[on])
         at, n = self.at[row], self.size[row]
         flat, long = self.flat, np.flatnonzero(~short)
         if len(long):
-            got, m = self._encoded([raw[a:b].tobytes().decode() for a, b in zip(start[long].tolist(), end[long].tolist())])
-            at[long], n[long] = len(flat) + np.cumsum(m) - m, m
+            got, place, m = self._encoded(raw, start[long], end[long])
+            at[long], n[long] = len(flat) + place, m
             flat = np.concatenate([flat, got])
         last = np.searchsorted(start, edges[1:])
         at, n = np.insert(at, last, 0), np.insert(n, last, 1)
