@@ -73,14 +73,34 @@ def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarr
     return first, np.diff(np.append(first, m)), at[first], h[at[first]]
 
 
+def in_turn(*keys: np.ndarray) -> np.ndarray:
+    """The stable order of rows by keys of whole numbers from 0, the first key first: one sort of keys and row in a word, where they fit."""
+    n = len(keys[0])
+    widths = [int(k.max()).bit_length() if n else 0 for k in keys]
+    if sum(widths) + n.bit_length() > 63:
+        return np.lexsort(keys[::-1])
+    packed = np.zeros(n, np.int64)
+    for k, width in zip(keys, widths):
+        packed = packed << width | k
+    packed = packed << n.bit_length() | np.arange(n)
+    packed.sort()
+    return packed & ((1 << n.bit_length()) - 1)
+
+
+def eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end."""
+    wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    key = wide[: len(text)] << np.uint64(56)
+    for j in range(1, 8):
+        key |= wide[j : len(text) + j] << np.uint64(56 - 8 * j)
+    return key
+
+
 def transform(text: np.ndarray, depth: int) -> np.ndarray:
     """A shard's transform, as its suffix order by the first `depth` bytes at least: the byte of a row is the text's before its place."""
     n = len(text)
-    wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = wide[:n] << np.uint64(56)
-    for j in range(1, 8):
-        key |= wide[j : n + j] << np.uint64(56 - 8 * j)
-    order = np.argsort(key, kind="stable")
+    key = eights(text)
+    order = np.argsort(key)
     start = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
@@ -91,9 +111,9 @@ def transform(text: np.ndarray, depth: int) -> np.ndarray:
         if not len(rows):
             break
         pos = order[rows]
-        after = np.where(pos + done < n, rank[np.minimum(pos + done, n - 1)], -1)
+        after = np.where(pos + done < n, rank[np.minimum(pos + done, n - 1)] + 1, 0)
         group = rank[pos]
-        by = np.lexsort((after, group))
+        by = in_turn(group, after)
         pos, after, group = pos[by], after[by], group[by]
         order[rows] = pos
         fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])])
@@ -114,24 +134,27 @@ def repeated_suffixes(shards: list[np.ndarray], length: int) -> tuple[np.ndarray
         return none, none, none
     parts = [transform(s, length) for s in shards]
     base = np.cumsum([0] + [len(s) for s in shards])
-    place = np.concatenate([p + b for p, b in zip(parts, base[:-1])])
-    row = np.empty(len(place), np.int64)
-    row[place] = np.arange(len(place))
     text = np.concatenate(shards)
+    # Narrow numbers: the rounds read these tables at random.
+    small = np.int32 if len(text) < 1 << 31 else np.int64
+    place = np.concatenate([p + b for p, b in zip(parts, base[:-1])]).astype(small)
+    row = np.empty(len(place), small)
+    row[place] = np.arange(len(place), dtype=small)
+    key, code, coded = eights(text), None, 0
     ends = np.flatnonzero(text == END)
     size = np.diff(np.concatenate([[-1], ends]))
     inside = np.arange(len(text)) - np.repeat(ends + 1 - size, size)
     rows = np.flatnonzero(inside[place] >= length)
     interval = np.zeros(len(rows), np.int64)
-    wide = text.astype(np.uint64)
     done = 0
     while done < length and len(rows):
         step = min(STEP, length - done)
-        at = place[rows] - step
-        byte = wide[at]
-        for j in range(1, step):
-            byte = byte << np.uint64(8) | wide[at + j]
-        order = np.argsort(byte, kind="stable")
+        if step != coded:
+            # The strings of `step` bytes, numbered once for all rounds.
+            code, coded = np.unique(key >> np.uint64(64 - 8 * step), return_inverse=True)[1].astype(small), step
+        at = place[rows] - small(step)
+        byte = code[at]
+        order = in_turn(byte)
         rows, interval, byte = row[at[order]], interval[order], byte[order]
         bound = np.ones(len(rows) + 1, bool)
         bound[1:-1] = (byte[1:] != byte[:-1]) | (interval[1:] != interval[:-1])
